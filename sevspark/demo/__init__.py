@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tables"]
+MODULES = ["steps", "tables", "measures"]
 
 
 def load_all() -> None:
