@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["steps", "tables", "measures"]
+MODULES = ["steps", "tables", "measures", "monitoring"]
 
 
 def load_all() -> None:

@@ -104,6 +104,105 @@ VIEWS: dict[str, View] = {
     ),
 }
 
+_UUID = (
+    "lpad(CAST({a} AS STRING), 8, '0') || '-0000-4000-8000-' || lpad(CAST({b} AS STRING), 12, '0')"
+)
+_EVENT = (
+    "CASE event_type WHEN 'signup' THEN 'gate_open' WHEN 'purchase' THEN 'gate_resolved' "
+    "WHEN 'error' THEN 'interruption_start' WHEN 'click' THEN 'interruption_end' ELSE 'deploy_step' END"
+)
+
+VIEWS |= {
+    "requests": View(
+        "events",
+        (
+            "event_id", "ts", "'/' || event_type AS endpoint",
+            "CASE WHEN user_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS method",
+            "CASE WHEN event_type <> 'error' THEN '200' WHEN user_id % 4 = 0 THEN '500' WHEN user_id % 4 = 1 THEN '401' "
+            "WHEN user_id % 4 = 2 THEN '429' ELSE '503' END AS status",
+            "value / 100 AS duration_s",
+            "CAST(CASE WHEN event_type IN ('error', 'purchase') THEN 1 ELSE 0 END AS INT) AS pred",
+        ),
+    ),
+    "log_lines": View(
+        "events",
+        (
+            "event_id", "ts", "'svc' || CAST(user_id % 4 AS STRING) AS service",
+            "'stage' || CAST(user_id % 7 AS STRING) AS stage",
+            "CAST(CASE event_type WHEN 'error' THEN 40 WHEN 'view' THEN 10 ELSE 20 END AS INT) AS level_no",
+            "CASE event_type WHEN 'error' THEN 'INFO wrapped ERROR' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END || ' run ' || "
+            + _UUID.format(a="user_id", b="event_id")
+            + f" || ' event=' || {_EVENT} || ' kind=first user=' || CAST(user_id AS STRING) || ' kind=' || event_type AS line",
+        ),
+    ),
+    "probes": View(
+        "events",
+        (
+            "event_id", "ts", "'host' || CAST(user_id % 3 AS STRING) AS instance",
+            "CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS INT) AS up",
+        ),
+    ),
+    "counters": View(
+        "events",
+        ("event_id", "ts", "'series' || CAST(user_id % 5 AS STRING) AS series", "CAST(event_id % 701 AS DOUBLE) AS value"),
+    ),
+    "hosts": View(
+        "events",
+        (
+            "event_id", "ts", "'host' || CAST(user_id % 3 AS STRING) AS host",
+            "CASE WHEN user_id % 2 = 0 THEN 'memory' ELSE 'disk' END AS resource", "value AS avail",
+            "CAST(500 AS DOUBLE) AS size",
+        ),
+    ),
+    "flow_runs": View(
+        "events",
+        (
+            _UUID.format(a="user_id", b="event_id") + " AS run_id", "ts AS start_time",
+            "CASE event_type WHEN 'signup' THEN 'deploy' WHEN 'purchase' THEN 'train' WHEN 'error' THEN 'drift' "
+            "WHEN 'click' THEN 'update' ELSE 'etl' END AS flow",
+            "CASE user_id % 5 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'CRASHED' WHEN 3 THEN 'CANCELLED' "
+            "ELSE 'RUNNING' END AS state",
+            "CASE WHEN user_id % 5 = 4 THEN NULL ELSE value END AS seconds",
+            "CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'algo' || CAST(event_id % 4 AS STRING) END AS champion",
+            "CASE WHEN event_id % 2 = 0 THEN 'sha' || CAST(event_id AS STRING) ELSE '' END AS sha_tag",
+            "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(2021 + event_id % 4 AS INT) END AS year",
+        ),
+    ),
+    "model_runs": View(
+        "events",
+        (
+            _UUID.format(a="user_id", b="event_id") + " AS run_id", "ts AS start_time",
+            "CASE WHEN user_id % 3 = 0 THEN 'prod' ELSE 'dev' END AS experiment",
+            "CASE event_type WHEN 'signup' THEN 'rf' WHEN 'purchase' THEN 'rf' WHEN 'error' THEN 'gbt_depth' "
+            "ELSE 'gbt_leaf' END AS algo",
+            "CAST(event_id AS INT) AS version",
+            "(560 + event_id * 7 % 140) / CAST(1000 AS DOUBLE) AS f1", "(740 + event_id * 11 % 150) / CAST(1000 AS DOUBLE) AS auc",
+            "(690 + event_id * 13 % 110) / CAST(1000 AS DOUBLE) AS accuracy",
+            "(550 + event_id * 17 % 130) / CAST(1000 AS DOUBLE) AS recall",
+            "CASE WHEN event_id % 4 = 0 THEN '[2021]' WHEN event_id % 4 = 1 THEN '[2021, 2022]' "
+            "WHEN event_id % 4 = 2 THEN '[2021, 2022, 2023]' ELSE NULL END AS years",
+            "CASE WHEN user_id % 10 = 0 THEN 'true' ELSE 'false' END AS export",
+            "CASE WHEN user_id % 7 = 0 THEN 'stopped' ELSE '' END AS gate_outcome",
+            "CASE WHEN event_id % 6 = 0 THEN value + event_id END AS promoted_at",
+            "CASE event_id % 5 WHEN 0 THEN 'True' WHEN 1 THEN 'None' WHEN 2 THEN CAST(event_id AS STRING) WHEN 3 THEN '0.05' "
+            "ELSE 'sqrt' END AS param",
+        ),
+    ),
+    # a catalogue of files: one entry per document
+    "resources": View(
+        "documents",
+        (
+            "doc_id",
+            "CASE doc_id % 5 WHEN 0 THEN 'Caract' WHEN 1 THEN 'Lieux' WHEN 2 THEN 'Usagers' WHEN 3 THEN 'Vehicules' "
+            "ELSE 'Notice' END || ' ' || CAST(2021 + doc_id % 7 AS STRING) || ' ' || source "
+            "|| CASE WHEN doc_id % 11 = 0 THEN ' bilan enrichi' ELSE '' END AS title",
+            "CASE doc_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'CSV' ELSE '' END AS format",
+            "CASE WHEN doc_id % 13 = 0 THEN 0 ELSE n_chars * 1000 END AS filesize",
+            "'https://data.example.org/' || CAST(doc_id AS STRING) AS url",
+        ),
+    ),
+}
+
 
 def view(t, name: str) -> DataFrame:
     v = VIEWS[name]

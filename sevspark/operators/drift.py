@@ -32,10 +32,9 @@ def _totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def distances(counts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Wasserstein (plain and divided by the reference's deviation) and KS per feature."""
     keys = list(keys)
-    steps = (
-        Ordered(counts, keys, ["value"]).previous({"_before": "value"})
-        .running_sum({"_cr": "ref", "_cc": "cur"}).rows()
-    )
+    line = Ordered(counts, keys, ["value"])
+    counts = line.rows()  # materialised once; the moments below read it again
+    steps = line.previous({"_before": "value"}).running_sum({"_cr": "ref", "_cc": "cur"}).rows()
     moments = counts.groupBy(*keys).agg(
         F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"),
         F.try_divide(F.sum(F.col("ref") * F.col("value")), F.sum("ref")).alias("_mean"),
@@ -176,23 +175,21 @@ def level_code(level: Column) -> Column:
     return out
 
 
-def summary(flags: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def summary(flags: DataFrame, keys: Sequence[str] = (), share_limit: float = 0.5) -> DataFrame:
     """One row per key: level, counts, score map and list of drifted features.
 
     The map holds one entry per feature, an argument-sized list.
     """
-    base = dataset_drift(flags, keys)
-    maps = flags.groupBy(*keys).agg(
+    share = F.avg(F.col("drifted").cast("double"))
+    return flags.groupBy(*keys).agg(
+        F.count_if("drifted").alias("drifted_count"),
+        F.count(F.lit(1)).alias("total_features"),
+        F.round(share, 3).alias("drift_share"),
+        (share >= share_limit).alias("drift_detected"),
         F.max("n_cur").alias("rows"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "score")))).alias("feature_scores"),
         F.array_sort(F.collect_list(F.when(F.col("drifted"), F.col("feature")))).alias("drifted_features"),
-    )
-    joined = base.join(maps, list(keys)) if keys else base.withColumns(
-        {c: maps.select(c).scalar() for c in ("rows", "feature_scores", "drifted_features")}
-    )
-    return joined.withColumn("drift_share", F.round("drift_share", 3)).withColumn(
-        "level", level_of(F.col("drift_share"))
-    )
+    ).withColumn("level", level_of(F.col("drift_share")))
 
 
 def first_year_summary(year: int) -> dict:
