@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["steps", "tables", "measures", "monitoring"]
+MODULES = ["steps", "tables", "measures", "monitoring", "models"]
 
 
 def load_all() -> None:

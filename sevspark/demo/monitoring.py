@@ -76,7 +76,7 @@ def _(t: Tables):
 
 @query(
     "join_anti_pending",
-    f"""WITH l AS (SELECT stage || service AS run, {FIELD.format('event')} AS event, epoch(ts) // 86400 AS d FROM log_lines),
+    f"""WITH l AS (SELECT stage || service AS run, {FIELD.format('event')} AS event, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS d FROM log_lines),
     k AS (SELECT run || '-' || d AS run, event FROM l)
     SELECT DISTINCT run FROM k WHERE event = 'gate_open' AND run NOT IN (SELECT run FROM k WHERE event = 'gate_resolved')""",
     "log_lines",

@@ -42,7 +42,7 @@ def versions_with_runs(versions: DataFrame, runs: DataFrame, experiment: str) ->
 def opened_not_closed(lines: DataFrame, key: str, event: str, opened: str, closed: str) -> DataFrame:
     """Keys with an ``opened`` event and no ``closed`` one."""
     is_open = lines.filter(F.col(event) == opened).select(key).distinct()
-    is_closed = lines.filter(F.col(event) == closed).select(key)
+    is_closed = lines.filter(F.col(event) == closed).select(key).distinct()
     return is_open.join(is_closed, key, "left_anti")
 
 
