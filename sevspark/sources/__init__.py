@@ -1 +1 @@
-
+"""Discovery, reading and writing of yearly tables."""
