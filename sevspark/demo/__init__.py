@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["steps", "tables", "measures", "monitoring", "models", "intake", "samples"]
+MODULES = ["steps", "tables", "measures", "monitoring", "models", "intake", "samples", "learning"]
 
 
 def load_all() -> None:

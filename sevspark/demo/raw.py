@@ -59,7 +59,7 @@ VIEWS: dict[str, View] = {
         "orders",
         (
             f"{_num_acc('o_orderkey')} AS Num_Acc",
-            "CAST(1 + o_orderkey % 7 AS INT) AS catr",
+            "CAST(1 + (o_orderkey + 1) % 7 AS INT) AS catr",
             "CAST(CASE WHEN o_custkey % 5 = 0 THEN -1 ELSE o_custkey % 5 END AS INT) AS circ",
             "CAST(CASE WHEN o_orderkey % 10 = 0 THEN -1 WHEN o_orderkey % 10 = 9 THEN NULL "
             "ELSE o_orderkey % 10 END AS INT) AS surf",

@@ -7,16 +7,21 @@ candidates per row of the block.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .ordered import row_index
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SAMPLE_LIMIT = 5000
 BLOCK_ROWS = 2048
 METRICS = ("minkowski", "manhattan", "chebyshev")
