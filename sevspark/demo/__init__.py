@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["steps", "tables", "measures", "monitoring", "models", "intake", "samples", "learning"]
+MODULES = ["steps", "tables", "measures", "monitoring", "models", "intake", "samples", "learning", "streams"]
 
 
 def load_all() -> None:
