@@ -34,12 +34,15 @@ def yearly_csv(t: Tables, names: list[str]) -> str:
     return root
 
 
-@query("src_available_years")
+RAW_YEARS = "SELECT DISTINCT CAST(substr(Num_Acc, 1, 4) AS INT) AS year FROM caracteristiques"
+
+
+@query("src_available_years", RAW_YEARS, "caracteristiques")
 def _(t: Tables):
     return listing.available_years(listing.files(t.spark, yearly_csv(t, RAW)))
 
 
-@query("src_training_years")
+@query("src_training_years", RAW_YEARS, "caracteristiques")
 def _(t: Tables):
     years = listing.available_years(listing.files(t.spark, yearly_csv(t, RAW)))
     found = listing.sorted_years(years, at_least=2)
@@ -175,12 +178,12 @@ def _(t: Tables):
 # ---- files ----------------------------------------------------------------------------------
 
 
-@query("src_header_check")
+@query("src_header_check", "SELECT year, 'ok' AS verdict FROM (" + RAW_YEARS + ")", "caracteristiques")
 def _(t: Tables):
     heads = tables.header_lines(t.spark, yearly_csv(t, ["caracteristiques"]))
     checked = tables.check_headers(heads, presets.HEADER_COLUMNS, "caracteristiques", 1)
     year = F.regexp_extract("path", listing.YEAR_FOLDER, 1).cast("int")
-    return checked.groupBy(year.alias("year"), "problem").agg(F.count(F.lit(1)).alias("files"))
+    return checked.select(year.alias("year"), F.coalesce("problem", F.lit("ok")).alias("verdict")).distinct()
 
 
 @query(
@@ -249,14 +252,19 @@ def _(t: Tables):
     return df.select("event_id", "model_version", shown.alias("created_at"))
 
 
-@query("sink_drift_json")
+@query(
+    "sink_drift_json",
+    "SELECT CAST(year AS INT) AS year, level, drifted AS drifted_count, share AS drift_share FROM year_summaries",
+    "year_summaries",
+)
 def _(t: Tables):
     from .measures import yearly_summaries
 
     folder = work_path(t.spark, "drift")
     s = yearly_summaries(t)
     sinks.write_drift_reports(s, folder, s.orderBy(F.col("year").desc()).limit(1))
-    return t.spark.read.json(f"{folder}/reports").select("year", "level", "drifted_count", "drift_share")
+    kinds = "year int, level string, drifted_count bigint, drift_share double"
+    return t.spark.read.schema(kinds).json(f"{folder}/reports").select("year", "level", "drifted_count", "drift_share")
 
 
 @query("sink_reset", "SELECT count(*) AS removed, CAST(0 AS BIGINT) AS remaining FROM events")
@@ -276,7 +284,11 @@ def _(t: Tables):
 # ---- validation -----------------------------------------------------------------------------
 
 
-@query("val_files")
+@query(
+    "val_files",
+    """SELECT 'CRITICAL' AS level, t AS "table", 'file_discovery' AS "check", '0 files, 0 bytes' AS detail
+    FROM (VALUES ('caracteristiques'), ('usagers')) v(t)""",
+)
 def _(t: Tables):
     found = listing.files(t.spark, yearly_csv(t, ["lieux", "vehicules"]))
     expected = found.select(

@@ -135,7 +135,16 @@ def _(t: Tables):
     return predict(t)(cases).select("Num_Acc", "vma", "hour", "prediction", "probability")
 
 
-@query("ml_replay")
+_VALID = " AND ".join(f'"{f}" IS NOT NULL' for f in PAYLOAD_FIELDS)
+
+
+@query(
+    "ml_replay",
+    f"""SELECT 'full' AS run, count(*) FILTER ({_VALID}) AS sent, count(*) FILTER (NOT ({_VALID})) AS errors,
+      CAST(0 AS BIGINT) AS would_send, count(*) FILTER (NOT ({_VALID})) / count(*) < 0.05 AS ok FROM imputed WHERE split = 'test'
+    UNION ALL SELECT 'dry', 0, 0, count(*), TRUE FROM imputed WHERE split = 'test' AND mois = 6""",
+    "imputed",
+)
 def _(t: Tables):
     rows = split_table(t).filter("split = 'test'")
     todo = replay.prepare(rows, FEATURES, ["Num_Acc"])

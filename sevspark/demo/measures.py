@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, drift, evaluate, ordered
+from ..operators import drift, evaluate, ordered, rank
 from .base import Tables, query
 from .raw import STEPS
 
@@ -305,3 +305,13 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return drift.alerts(yearly_summaries(t), "year")
+
+
+@query(
+    "rank_scores_desc",
+    "SELECT feature, score, CAST(row_number() OVER (ORDER BY score DESC, feature) AS INT) AS place FROM flags",
+    "flags",
+)
+def _(t: Tables):
+    ranked = rank.scores_desc(flags(t).select("feature", "score"), "score", "feature")
+    return ranked.withColumn("place", F.col("place").cast("int"))

@@ -87,3 +87,10 @@ def missing_from(expected: DataFrame, found: DataFrame) -> DataFrame:
 def dedup_on_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the largest by the order columns, then by the rest."""
     return pick_max(df, key, order[0], list(order[1:]))
+
+
+def scores_desc(scores: DataFrame, score: str, name: str) -> DataFrame:
+    """A report's scores from high to low with their place; one row per monitored feature."""
+    row = F.struct((-F.col(score)).alias("neg"), F.col(name).alias("name"), F.struct("*").alias("row"))
+    ordered = scores.agg(F.array_sort(F.collect_list(row)).alias("_a"))
+    return ordered.select(F.posexplode("_a").alias("_p", "_r")).select("_r.row.*", (F.col("_p") + 1).alias("place"))
