@@ -14,7 +14,8 @@ NBSP = " "
 
 
 def _num_acc(key: str) -> str:
-    return f"CAST(2021 + {key} % 4 AS STRING) || lpad(CAST({key} AS STRING), 12, '0')"
+    """Four digits of year, then the key in twelve digits."""
+    return f"CAST((2021 + {key} % 4) * 1000000000000 + {key} AS STRING)"
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ VIEWS: dict[str, View] = {
         (
             f"{_num_acc('l_orderkey')} AS Num_Acc",
             "CAST(l_linenumber AS STRING) AS num_veh",
-            "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id_vehicule",
+            "CAST(l_orderkey * 10 + l_linenumber AS STRING) AS id_vehicule",
             "CAST(l_partkey AS STRING) || '/' || CAST(l_suppkey AS STRING) || '/' "
             "|| CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) AS id_usager",
             "CAST(1 + l_partkey % 10 AS INT) AS place",
@@ -94,7 +95,7 @@ VIEWS: dict[str, View] = {
         (
             f"{_num_acc('l_orderkey')} AS Num_Acc",
             "CAST(l_linenumber AS STRING) AS num_veh",
-            "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id_vehicule",
+            "CAST(l_orderkey * 10 + l_linenumber AS STRING) AS id_vehicule",
             "CAST(CASE WHEN (l_orderkey + l_linenumber) % 41 = 40 THEN -1 "
             "ELSE (l_orderkey * 3 + l_linenumber) % 44 END AS INT) AS catv",
             "CAST((l_orderkey + l_linenumber) % 7 - 1 AS INT) AS obsm",

@@ -62,14 +62,20 @@ STEPS["picked"] = (
       QUALIFY row_number() OVER (PARTITION BY Num_Acc ORDER BY grav DESC, num_veh DESC, id_vehicule DESC,
         id_usager DESC, place DESC, catu DESC, sexe DESC, secu1 DESC, secu2 DESC, trajet DESC) = 1""",
 )
+STEPS["picked_features"] = (
+    ("c_users", "c_veh"),
+    """SELECT * FROM c_users JOIN c_veh USING (Num_Acc, num_veh, id_vehicule)
+      QUALIFY row_number() OVER (PARTITION BY Num_Acc ORDER BY grav DESC, num_veh DESC, id_vehicule DESC,
+        place DESC, catu DESC, sexe DESC, secu1 DESC, victim_age DESC) = 1""",
+)
 STEPS["features"] = (
-    ("picked", "lieux", "c_caract"),
+    ("picked_features", "lieux", "c_caract"),
     f"""SELECT * FROM (SELECT p.Num_Acc, place, catu, sexe, {_nullif("secu1")} AS secu1, victim_age, {_nullif("catv")} AS catv,
       {_nullif("obsm")} AS obsm, {_nullif("motor")} AS motor, catr, {_nullif("circ")} AS circ, {_nullif("surf")} AS surf,
       {_nullif("situ")} AS situ, {_nullif("vma")} AS vma, jour, mois, lum, dep, com, agg_, "int", {_nullif("atm")} AS atm,
       {_nullif("col")} AS col, lat, long, hour, nb_victim, nb_vehicules, year_acc,
       {sql_case("grav", presets.TARGET_RECODE)} AS grav
-      FROM picked p LEFT JOIN lieux l ON p.Num_Acc = l.Num_Acc LEFT JOIN c_caract c ON p.Num_Acc = c.Num_Acc
+      FROM picked_features p LEFT JOIN lieux l ON p.Num_Acc = l.Num_Acc LEFT JOIN c_caract c ON p.Num_Acc = c.Num_Acc
       JOIN (SELECT Num_Acc, count(*) AS nb_victim FROM usagers GROUP BY 1) u ON p.Num_Acc = u.Num_Acc
       JOIN (SELECT Num_Acc, count(*) AS nb_vehicules FROM vehicules GROUP BY 1) v ON p.Num_Acc = v.Num_Acc
       WHERE grav <> -1)

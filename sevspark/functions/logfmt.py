@@ -11,14 +11,25 @@ RUN_ID = r".*([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}).*"
 
 
 def parse_pairs(line: Column) -> Column:
-    """Map of the line's pairs; the last value of a repeated key wins."""
-    keys = F.regexp_extract_all(line, F.lit(PAIR), F.lit(1))
-    values = F.regexp_extract_all(line, F.lit(PAIR), F.lit(2))
-    # reversed, so that array_position finds a key's last value
-    names, vals = F.reverse(keys), F.reverse(values)
-    distinct = F.array_distinct(keys)
-    picked = F.transform(distinct, lambda k: F.element_at(vals, F.array_position(names, k).cast("int")))
-    return F.map_from_arrays(distinct, picked)
+    """Map of the line's pairs; the last value of a repeated key wins.
+
+    The line is matched once; the pairs are then split and looked up from the end.
+    """
+    def build(pairs: Column) -> Column:
+        pairs = F.reverse(pairs)
+        names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+        latest = F.filter(pairs, lambda p, i: F.array_position(names, F.substring_index(p, "=", 1)) == i + 1)
+        return F.map_from_entries(
+            F.transform(
+                latest,
+                lambda p: F.struct(
+                    F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("v")
+                ),
+            )
+        )
+
+    # a one-element transform binds the matches to a variable, so they are computed once
+    return F.transform(F.array(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0))), build)[0]
 
 
 def field(line: Column, name: str) -> Column:

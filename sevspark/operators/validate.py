@@ -1,6 +1,6 @@
 """Three-level validation of raw tables.
 
-Every level-2 and level-3 check of a table is a counter in ONE aggregate over that table; the single
+Every level-2 and level-3 check of a table is a counter in one aggregate over that table; the single
 result row then unfolds into messages ``(level, table, check, detail)``.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,12 +35,20 @@ def message(level: Column | str, table: str, check: str, detail: Column) -> Colu
 
 
 def cast_failures(df: DataFrame, schema: Mapping[str, tuple]) -> dict[str, Column]:
-    """Per column: values that cannot take the declared type."""
-    return {
-        c: F.count_if(F.col(c).isNotNull() & F.col(c).cast("string").try_cast(kind).isNull())
-        for c, (kind, _) in schema.items()
-        if c in df.columns
-    }
+    """Per column: values that cannot take the declared type. A column already of its type costs nothing."""
+    have = dict(df.dtypes)
+
+    def failures(c: str, kind: str) -> Column:
+        if have[c] == kind or kind == "string":
+            return F.lit(0).cast("bigint")
+        return F.count_if(F.col(c).isNotNull() & F.col(c).cast("string").try_cast(kind).isNull())
+
+    return {c: failures(c, kind) for c, (kind, _) in schema.items() if c in have}
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """The column as a number, unreadable text as NULL."""
+    return F.col(column).try_cast("double") if dict(df.dtypes)[column] == "string" else F.col(column)
 
 
 def _violates(value: Column, check: tuple) -> Column:
@@ -51,7 +59,7 @@ def _violates(value: Column, check: tuple) -> Column:
 def domain_failures(df: DataFrame, schema: Mapping[str, tuple]) -> dict[str, Column]:
     """Per checked column: known values outside their range or set."""
     return {
-        c: F.count_if(_violates(F.col(c).cast("string").try_cast("double"), check))
+        c: F.count_if(_violates(_number(df, c), check))
         for c, (_, check) in schema.items()
         if check and c in df.columns
     }
@@ -122,16 +130,12 @@ def changed_types(df: DataFrame, schema: Mapping[str, tuple]) -> list[str]:
     return [c for c, (kind, _) in schema.items() if c in have and have[c] != kind]
 
 
-def schema_messages(
-    df: DataFrame, table: str, schema: Mapping[str, tuple] | None = None, required: Sequence[str] | None = None,
-    renamed: Sequence[str] = (),
-) -> DataFrame:
-    """Level 2 of one table: required and unknown columns, types and domains, from one aggregate."""
-    schema = presets.TABLE_SCHEMAS[table] if schema is None else schema
-    required = presets.REQUIRED_COLUMNS[table] if required is None else required
+def _schema_checks(
+    df: DataFrame, table: str, schema: Mapping[str, tuple], required: Sequence[str], renamed: Sequence[str]
+) -> tuple[dict[str, Column], list[Column]]:
+    """Counters of level 2 and the messages built on them."""
     bad = {f"type:{c}": n for c, n in cast_failures(df, schema).items()}
     bad |= {f"domain:{c}": n for c, n in domain_failures(df, schema).items()}
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[n.alias(k) for k, n in bad.items()])
     listed = F.array_compact(
         F.array(
             *[F.when(F.col(f"`{k}`") > 0, F.concat(F.lit(f"{k}="), F.col(f"`{k}`").cast("string"))) for k in bad]
@@ -140,18 +144,32 @@ def schema_messages(
     changed = changed_types(df, schema)
     clean = "AUTO_CORRECTED" if changed else None
     out = [
-        required_columns(df.columns, table, required, F.col("_rows")),
-        unknown_columns(df.columns, table, [*schema, *required], F.col("_rows")),
-        message(
-            F.when(F.size(listed) > 0, F.lit("WARNING")), table, "type_check", F.array_join(listed, ", ")
-        ),
+        required_columns(df.columns, table, required, F.col("rows")),
+        unknown_columns(df.columns, table, [*schema, *required], F.col("rows")),
+        message(F.when(F.size(listed) > 0, F.lit("WARNING")), table, "type_check", F.array_join(listed, ", ")),
         message(
             F.when(F.size(listed) == 0, F.lit(clean).cast("string")), table, "type_coercion", F.lit(", ".join(changed))
         ),
     ]
     if renamed:
         out.append(message("AUTO_CORRECTED", table, "column_rename", F.lit(", ".join(renamed))))
-    return row.select(F.inline(F.array(*out))).filter(F.col("level").isNotNull())
+    return bad, out
+
+
+def _unfold(df: DataFrame, counters: Mapping[str, Column], messages: Sequence[Column]) -> DataFrame:
+    """Run all counters in one aggregate and keep the messages that apply."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[n.alias(k) for k, n in counters.items()])
+    return row.select(F.inline(F.array(*messages))).filter(F.col("level").isNotNull())
+
+
+def schema_messages(
+    df: DataFrame, table: str, schema: Mapping[str, tuple] | None = None, required: Sequence[str] | None = None,
+    renamed: Sequence[str] = (),
+) -> DataFrame:
+    """Level 2 of one table: required and unknown columns, types and domains."""
+    schema = presets.TABLE_SCHEMAS[table] if schema is None else schema
+    required = presets.REQUIRED_COLUMNS[table] if required is None else required
+    return _unfold(df, *_schema_checks(df, table, schema, required, renamed))
 
 
 def coerce(df: DataFrame, schema: Mapping[str, tuple]) -> tuple[DataFrame, int]:
@@ -171,33 +189,15 @@ def coerce(df: DataFrame, schema: Mapping[str, tuple]) -> tuple[DataFrame, int]:
 # ---- level 3 --------------------------------------------------------------------------------
 
 
-def quality_messages(
-    df: DataFrame, table: str, count_bounds: tuple[int, int] | None = None,
-    null_limit: float = presets.NULL_RATE_LIMIT, severity: str | None = None,
-    lat_lon: tuple[str, str] | None = None,
-) -> DataFrame:
-    """Level 3 of one table: row count, null rates, severity values and the coordinate box, one pass.
-
-    Checks on absent columns are skipped.
-    """
+def _quality_checks(
+    df: DataFrame, table: str, count_bounds: tuple[int, int] | None, null_limit: float, severity: str | None,
+    lat_lon: tuple[str, str] | None,
+) -> tuple[dict[str, Column], list[Column]]:
+    """Counters of level 3 and the messages built on them; checks on absent columns are skipped."""
     counters: dict[str, Column] = {f"null:{c}": F.avg(F.col(c).isNull().cast("int")) for c in df.columns}
-    counters["rows"] = F.count(F.lit(1))
-    if severity in df.columns:
-        s = F.col(severity).cast("string").try_cast("double")
-        counters["severity"] = F.count_if(s.isNull() | ~s.isin(presets.SEVERITY_VALUES))
-    if lat_lon and set(lat_lon) <= set(df.columns):
-        lat, lon = (text.decimal_comma(F.col(c)) for c in lat_lon)
-        counters["box"] = F.count_if(
-            geo.outside_box(lat, lon, presets.LAT_BOUNDS, presets.LON_BOUNDS_VALIDATION)
-        )
-    row = df.agg(*[c.alias(k) for k, c in counters.items()])
-
-    def col(k: str) -> Column:
-        return F.col(f"`{k}`")
-
     out = []
     for c in df.columns:
-        rate = col(f"null:{c}")
+        rate = F.col(f"`null:{c}`")
         out.append(
             message(
                 F.when(rate > null_limit, F.lit("WARNING")), table, f"nan_rate_{c}",
@@ -205,28 +205,43 @@ def quality_messages(
             )
         )
     if count_bounds:
-        inside = col("rows").between(*count_bounds)
+        low, high = count_bounds
         out.append(
             message(
-                F.when(inside, F.lit("INFO")).otherwise(F.lit("WARNING")), table, "row_count",
-                F.concat(col("rows").cast("string"), F.lit(f" rows, expected {count_bounds[0]} to {count_bounds[1]}")),
+                F.when(F.col("rows").between(low, high), F.lit("INFO")).otherwise(F.lit("WARNING")), table, "row_count",
+                F.concat(F.col("rows").cast("string"), F.lit(f" rows, expected {low} to {high}")),
             )
         )
-    if "severity" in counters:
+    if severity in df.columns:
+        s = _number(df, severity)
+        counters["severity"] = F.count_if(s.isNull() | ~s.isin(presets.SEVERITY_VALUES))
         out.append(
             message(
-                F.when(col("severity") > 0, F.lit("WARNING")), table, "severity_values",
-                F.concat(col("severity").cast("string"), F.lit(" rows with an unknown severity")),
+                F.when(F.col("severity") > 0, F.lit("WARNING")), table, "severity_values",
+                F.concat(F.col("severity").cast("string"), F.lit(" rows with an unknown severity")),
             )
         )
-    if "box" in counters:
+    if lat_lon and set(lat_lon) <= set(df.columns):
+        lat, lon = (text.decimal_comma(F.col(c)) for c in lat_lon)
+        counters["box"] = F.count_if(
+            geo.outside_box(lat, lon, presets.LAT_BOUNDS, presets.LON_BOUNDS_VALIDATION)
+        )
         out.append(
             message(
-                F.when(col("box") > 0, F.lit("WARNING")), table, "lat_long_range",
-                F.concat(col("box").cast("string"), F.lit(" rows outside the box")),
+                F.when(F.col("box") > 0, F.lit("WARNING")), table, "lat_long_range",
+                F.concat(F.col("box").cast("string"), F.lit(" rows outside the box")),
             )
         )
-    return row.select(F.inline(F.array(*out))).filter(F.col("level").isNotNull())
+    return counters, out
+
+
+def quality_messages(
+    df: DataFrame, table: str, count_bounds: tuple[int, int] | None = None,
+    null_limit: float = presets.NULL_RATE_LIMIT, severity: str | None = None,
+    lat_lon: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Level 3 of one table: row count, null rates, severity values and the coordinate box."""
+    return _unfold(df, *_quality_checks(df, table, count_bounds, null_limit, severity, lat_lon))
 
 
 # ---- report ---------------------------------------------------------------------------------
@@ -253,18 +268,19 @@ def gate(messages: DataFrame) -> str:
 
 
 def validate_tables(tables: Mapping[str, DataFrame], renamed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Levels 2 and 3 of the four raw tables: one scan of each table per level."""
+    """Levels 2 and 3 of the four raw tables: one scan and one aggregate per table."""
     renamed = renamed or {}
     frames = []
     for name, df in tables.items():
         is_main = name == "caracteristiques"
-        frames.append(schema_messages(df, name, renamed=renamed.get(name, ())))
-        frames.append(
-            quality_messages(
-                df, name, presets.ROW_COUNT_BOUNDS if is_main else None,
-                severity="grav" if name == "usagers" else None, lat_lon=("lat", "long") if is_main else None,
-            )
+        two = _schema_checks(
+            df, name, presets.TABLE_SCHEMAS[name], presets.REQUIRED_COLUMNS[name], renamed.get(name, ())
+        )
+        three = _quality_checks(
+            df, name, presets.ROW_COUNT_BOUNDS if is_main else None, presets.NULL_RATE_LIMIT,
+            "grav" if name == "usagers" else None, ("lat", "long") if is_main else None,
         )
+        frames.append(_unfold(df, two[0] | three[0], two[1] + three[1]))
     return report(frames)
 
 

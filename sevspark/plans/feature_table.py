@@ -48,11 +48,14 @@ def engineer(
     The users-vehicles join uses the three-part key, which spreads a hot incident over tasks; the
     pick and both counts then aggregate partially, and every later join reuses their partitioning.
     """
-    key = "Num_Acc"
-    people = prepare_users(users)
-    veh = cleanse.recode(vehicles, "catv", presets.VEHICLE_RECODE)
-    both = joins.inner(people, veh, [key, "num_veh", "id_vehicule"])
-    one = rank.pick_max(both, key, "grav", ["num_veh", "id_vehicule"])
+    key, parts = "Num_Acc", ["num_veh", "id_vehicule"]
+    # technical columns never reach the result; without them the pick ships and compares less
+    unused = [c for c in presets.TECHNICAL_COLUMNS if c not in {key, *parts}]
+    people = cleanse.drop_if_present(prepare_users(users), unused)
+    veh = cleanse.recode(cleanse.drop_if_present(vehicles, unused), "catv", presets.VEHICLE_RECODE)
+    places = cleanse.drop_if_present(places, unused)
+    both = joins.inner(people, veh, [key, *parts])
+    one = rank.pick_max(both, key, "grav", parts)
     where = rank.dedup_on_key(places, key, [c for c in places.columns if c != key]) if dedupe_places else places
     wide = joins.left_outer(one, where, [key])
     wide = joins.left_outer(wide, prepare_characteristics(caract, strict_hhmm), [key])
