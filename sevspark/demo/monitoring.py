@@ -215,7 +215,7 @@ def _(t: Tables):
 
 
 def _quantile(q: float, name: str) -> str:
-    return f"""(SELECT round(CASE WHEN isinf(h.le) THEN h.ple ELSE h.ple + (h.le - h.ple) * ({q} * h.total - h.pn) / (h.n - h.pn) END, 6)
+    return f"""(SELECT round(CASE WHEN isinf(h.le) THEN h.ple ELSE h.ple + (h.le - h.ple) * ({q} * h.total - h.pn) / (h.n - h.pn) END, 12)
       FROM h WHERE h.endpoint = e.endpoint AND h.n >= {q} * h.total ORDER BY h.le LIMIT 1) AS {name}"""
 
 
@@ -229,7 +229,7 @@ def _quantile(q: float, name: str) -> str:
 )
 def _(t: Tables):
     q = metrics.latency_quantiles(metrics.histogram(t.requests, "duration_s", ["endpoint"]), ["endpoint"])
-    return q.select("endpoint", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+    return q.select("endpoint", *[F.round(c, 12).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query(

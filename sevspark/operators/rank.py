@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pick_max(df: DataFrame, key: str, severity: str, ties: Sequence[str]) -> DataFrame:
-    """One row per key: highest severity, ties broken by the other columns, all descending."""
-    rest = [c for c in df.columns if c not in {key, severity, *ties}]
+def pick_max(df: DataFrame, key: str | Sequence[str], severity: str, ties: Sequence[str] = ()) -> DataFrame:
+    """One row per key: highest severity, ties broken by the other columns, all descending.
+
+    The maximum is taken before and after the shuffle, so a hot key ships one row per task.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in {*keys, severity, *ties}]
     row = F.struct(severity, *ties, *rest)
-    return df.groupBy(key).agg(F.max(row).alias("_r")).select(key, "_r.*").select(*df.columns)
+    return df.groupBy(*keys).agg(F.max(row).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
 def top_groups(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -45,8 +45,10 @@ def engineer(
 ) -> DataFrame:
     """One row per incident: the most severe user with vehicle, place, characteristics and counts.
 
-    The users-vehicles join uses the three-part key, which spreads a hot incident over tasks; the
-    pick and both counts then aggregate partially, and every later join reuses their partitioning.
+    Users and vehicles first shrink to one row per three-part key, then join on it: a hot incident or
+    vehicle is reduced before any shuffle, and the join reuses the partitioning of that reduction. The
+    pick per incident and both counts aggregate partially too, and the joins on the incident number
+    reuse their partitioning.
     """
     key, parts = "Num_Acc", ["num_veh", "id_vehicule"]
     # technical columns never reach the result; without them the pick ships and compares less
@@ -54,6 +56,9 @@ def engineer(
     people = cleanse.drop_if_present(prepare_users(users), unused)
     veh = cleanse.recode(cleanse.drop_if_present(vehicles, unused), "catv", presets.VEHICLE_RECODE)
     places = cleanse.drop_if_present(places, unused)
+    # one user and one vehicle per joint key are enough for the pick, and no key stays hot in the join
+    people = rank.pick_max(people, [key, *parts], "grav")
+    veh = rank.pick_max(veh, [key, *parts], next(c for c in veh.columns if c not in {key, *parts}))
     both = joins.inner(people, veh, [key, *parts])
     one = rank.pick_max(both, key, "grav", parts)
     where = rank.dedup_on_key(places, key, [c for c in places.columns if c != key]) if dedupe_places else places
