@@ -32,7 +32,7 @@ def _totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def distances(counts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Wasserstein (plain and divided by the reference's deviation) and KS per feature."""
     keys = list(keys)
-    line = Ordered(counts, keys, ["value"])
+    line = Ordered(counts, keys, ["value"], unique=True)
     counts = line.rows()  # materialised once; the moments below read it again
     steps = line.previous({"_before": "value"}).running_sum({"_cr": "ref", "_cc": "cur"}).rows()
     moments = counts.groupBy(*keys).agg(

@@ -42,7 +42,7 @@ def auc(df: DataFrame, label: str, score: str, series: Sequence[str] = ()) -> Da
     per_score = df.groupBy(*series, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")
     )
-    below = Ordered(per_score, series, ["_score"]).running_sum({"_cum": "_neg"}).rows()
+    below = Ordered(per_score, series, ["_score"], unique=True).running_sum({"_cum": "_neg"}).rows()
     wins = F.col("_pos") * (F.col("_cum") - F.col("_neg") / 2)
     return below.groupBy(*series).agg(
         F.try_divide(F.sum(wins), F.sum("_pos") * F.sum("_neg").cast("double")).alias("auc")

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import work_path
 from .ordered import row_index
 
 # executors need not have this package installed
@@ -46,6 +46,14 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _parts(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Arrow batches in key order (equal distances go to the smaller key), cut into short pieces."""
+    for pdf in batches:
+        pdf = pdf.sort_values(key)
+        for i in range(0, len(pdf), BLOCK_ROWS):
+            yield pdf.iloc[i : i + BLOCK_ROWS]
+
+
 def vote(
     rows: DataFrame, key: str, vector: str, sample: DataFrame, label: str,
     ks: Sequence[int] = range(1, 10), metrics: Sequence[str] = METRICS,
@@ -66,9 +74,7 @@ def vote(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         train, labels = held.value
         classes = np.unique(labels)
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        for pdf in _parts(batches, key):
             x = _matrix(pdf[vector])
             for m in metrics:
                 order = np.argsort(_distances(x, train, m), axis=1, kind="stable")[:, : max(ks)]
@@ -83,14 +89,21 @@ def vote(
 def nearest_within(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k nearest other rows of every row: ``key, rank, nn_id, nn_vec, dist``.
 
-    The rows are cut into blocks of BLOCK_ROWS; each pass holds one block and streams the whole
-    (materialised) table past it, so memory stays bounded and nothing is left out. The work is that
-    of an exact search, rows times rows, spread over all tasks.
+    ``key`` is unique. The rows are cut into blocks of BLOCK_ROWS; each pass holds one block, streams
+    the whole written table past it and writes the block's result, so memory and plan size stay
+    bounded and nothing is left out. The work is that of an exact search, rows times rows, spread
+    over all tasks.
     """
-    table = cut(row_index(rows.select(key, vector), [key], "_idx").withColumn(vector, F.col(vector).cast("array<double>")))
+    spark = rows.sparkSession
+    source, result = work_path(spark, "knn-rows"), work_path(spark, "knn-result")
+    numbered = row_index(rows.select(key, F.col(vector).cast("array<double>").alias(vector)), [key], "_idx", unique=True)
+    # sorted by number, so that reading one block skips the other row groups
+    numbered.sortWithinPartitions("_idx").write.parquet(source)
+    table = spark.read.parquet(source)
     n = table.agg(F.max("_idx")).first()[0] or 0
-    sc = rows.sparkSession.sparkContext
-    out = None
+    if n == 0:
+        raise ValueError("no rows")
+    sc = spark.sparkContext
     for start in range(1, n + 1, BLOCK_ROWS):
         block = table.filter(F.col("_idx").between(start, start + BLOCK_ROWS - 1)).select(key, vector).toPandas()
         held = sc.broadcast((block[key].to_numpy(np.int64), _matrix(block[vector])))
@@ -100,10 +113,8 @@ def nearest_within(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
             best_d = np.full((len(ids), 0), np.inf)
             best_i = np.zeros((len(ids), 0), np.int64)
             best_v = np.zeros((len(ids), 0, base.shape[1]))
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x, xi = _matrix(pdf[vector]), pdf[key].to_numpy(np.int64)
+            for part in _parts(batches, key):
+                x, xi = _matrix(part[vector]), part[key].to_numpy(np.int64)
                 d = _distances(base, x, "minkowski")
                 d[ids[:, None] == xi[None, :]] = np.inf
                 own = np.argsort(d, axis=1, kind="stable")[:, :k]
@@ -123,13 +134,12 @@ def nearest_within(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
         found = table.select(key, vector).mapInPandas(
             candidates, f"{key} long, dist double, nn_id long, nn_vec array<double>"
         )
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("no rows")
-    # at most k candidates per task for each row
-    ranked = out.groupBy(key).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("dist", "nn_id", "nn_vec"))), 1, k).alias("_n")
-    )
-    return ranked.select(key, F.posexplode("_n").alias("_p", "_r")).select(
+        # at most k candidates per task for each row of the block
+        ranked = found.groupBy(key).agg(
+            F.slice(F.array_sort(F.collect_list(F.struct("dist", "nn_id", "nn_vec"))), 1, k).alias("_n")
+        )
+        ranked.write.parquet(f"{result}/block={start}")
+        held.unpersist()
+    return spark.read.parquet(result).select(key, F.posexplode("_n").alias("_p", "_r")).select(
         key, (F.col("_p") + 1).alias("rank"), "_r.nn_id", "_r.nn_vec", "_r.dist"
     )

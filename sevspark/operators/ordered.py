@@ -4,6 +4,10 @@ Rows are range-partitioned by ``(series, order)`` into equal blocks, whatever th
 and written to the shared checkpoint folder with their block number, so every later step reads the
 same blocks even after an executor is lost. Windows run inside a block; what crosses a block border
 is one row per block (its last row, its last series' sum), a size bounded by the number of blocks.
+
+Copies of one row share all order columns and would fill one block however many there are. Unless the
+caller knows the order to be unique, rows are therefore written once with a row number as the last
+order column; the ranges are then cut through the middle of a group of copies too.
 """
 
 from __future__ import annotations
@@ -16,13 +20,21 @@ from pyspark.sql import functions as F
 from ..session import blocks_of, cut
 
 BLOCK = "_block"
+COPY = "_copy"
 
 
 class Ordered:
     """A table in a fixed total order: by ``series`` first, then by ``order`` inside each series."""
 
-    def __init__(self, df: DataFrame, series: Sequence[str], order: Sequence[str], *, blocks: int | None = None):
+    def __init__(
+        self, df: DataFrame, series: Sequence[str], order: Sequence[str], *, unique: bool = False,
+        blocks: int | None = None,
+    ):
         self.series, self.order = list(series), list(order)
+        if not unique:
+            # written before it decides where rows go: a repeated task must not renumber them
+            df = cut(df.withColumn(COPY, F.monotonically_increasing_id()))
+            self.order.append(COPY)
         n = blocks or blocks_of(df.sparkSession)
         keys = [F.col(c) for c in (*self.series, *self.order)]
         self.df = cut(df.repartitionByRange(n, *keys).withColumn(BLOCK, F.spark_partition_id()))
@@ -91,12 +103,12 @@ class Ordered:
         return self._with(both.withColumns(total).drop("_off", *[f"_v_{n}" for n in named]))
 
     def rows(self) -> DataFrame:
-        return self.df.drop(BLOCK)
+        return self.df.drop(BLOCK, COPY)
 
 
-def row_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
+def row_index(df: DataFrame, order: Sequence[str], name: str = "idx", unique: bool = False) -> DataFrame:
     """Add a dense 1-based row number over the whole table."""
-    return Ordered(df, [], order).running_sum({name: F.lit(1).cast("bigint")}).rows()
+    return Ordered(df, [], order, unique=unique).running_sum({name: F.lit(1).cast("bigint")}).rows()
 
 
 def prefix_sum(df: DataFrame, order: Sequence[str], columns: Mapping[str, Column | str], series: Sequence[str] = ()):

@@ -41,7 +41,7 @@ def rollback(versions: DataFrame) -> DataFrame:
 def promotion_ranks(versions: DataFrame, keys: Sequence[str] = ("model", "version")) -> DataFrame:
     """0 for the newest promotion, 1 for the one before, and so on, over all families."""
     done = versions.filter(F.col("promoted_at").isNotNull()).withColumn("_neg", -F.col("promoted_at"))
-    ranked = row_index(done, ["_neg", *keys], "_i")
+    ranked = row_index(done, ["_neg", *keys], "_i", unique=True)
     return ranked.withColumn("rank", F.col("_i") - 1).drop("_i", "_neg")
 
 

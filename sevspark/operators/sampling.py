@@ -15,8 +15,19 @@ from .ordered import row_index
 _LEVELS = ((36, 16), (20, 16), (0, 20))  # (shift, bits) of the 52-bit draw, coarse to fine
 
 
+TOP_LIMIT = 100_000  # up to here a sample may pass through one task
+
+
 def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """The n rows with the smallest draws: each task keeps n rows, nothing is sorted in full."""
+    """The n rows with the smallest draws.
+
+    A small sample is a top-n: each task keeps n rows. A large one filters by the n-th draw, so it
+    stays distributed (rows with equal keys then stay together).
+    """
+    if n > TOP_LIMIT:
+        if df.count() <= n:
+            return df
+        return df.filter(hashing.hash_int(keys, seed) <= kth_draw(df, keys, n, seed))
     return df.withColumn("_h", hashing.row_hash(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
 
 

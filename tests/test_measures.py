@@ -41,6 +41,21 @@ def test_prefix_sum_property(spark, values):
         assert got[i] == run[s]
 
 
+def test_copies_of_one_row_spread_over_blocks(spark):
+    df = spark.createDataFrame([("a", 1, 1)] * 300 + [("b", i, 1) for i in range(300)], "s string, t int, v int")
+    o = ordered.Ordered(df.repartition(4), ["s"], ["t"], blocks=6).running_sum({"c": "v"})
+    sizes = [r["count"] for r in o.df.groupBy(ordered.BLOCK).count().collect()]
+    assert max(sizes) < 200
+    assert sorted(r["c"] for r in o.rows().filter("s = 'a'").collect()) == list(range(1, 301))
+
+
+def test_large_samples_stay_distributed(spark, monkeypatch):
+    small = sampling.sample_n(spark.range(500), ["id"], 60).collect()
+    monkeypatch.setattr(sampling, "TOP_LIMIT", 50)
+    assert sorted(sampling.sample_n(spark.range(500), ["id"], 60).collect()) == sorted(small)
+    assert sampling.sample_n(spark.range(50), ["id"], 60).count() == 50
+
+
 def test_row_index_is_dense(spark):
     got = ordered.row_index(spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1000), ["k"]).collect()
     assert all(r["idx"] == r["k"] + 1 for r in got)
