@@ -63,7 +63,8 @@ def delta(before: DataFrame, after: DataFrame, predict: Callable[[DataFrame], Da
 
     change = F.col("pct_after") - F.col("pct_before")
     verdict = (
-        F.when(change < 0, F.lit("fewer severe")).when(change > 0, F.lit("more severe")).otherwise(F.lit("no change"))
+        F.when(F.col("n_before") == 0, F.lit("no matching rows"))
+        .when(change < 0, F.lit("fewer severe")).when(change > 0, F.lit("more severe")).otherwise(F.lit("no change"))
     )
     return scored.agg(
         F.count_if(F.col("_side") == "before").alias("n_before"), F.count_if(F.col("_side") == "after").alias("n_after"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import presets
 from ..functions import text
 from ..operators import cleanse, features, joins, rank
+from ..session import written
 
 
 def clean_table(df: DataFrame, table: str) -> DataFrame:
@@ -82,8 +83,12 @@ def unmapped_severity(users: DataFrame) -> DataFrame:
 
 
 def train_test(feature_rows: DataFrame, year: str = "year_acc") -> DataFrame:
-    """Newest year as test, earlier as train, NULLs filled with train modes."""
-    split = features.split_by_newest_year(feature_rows, year)
+    """Newest year as test, earlier as train, NULLs filled with train modes.
+
+    The newest year and the modes each need their own look at the rows, so these are written once;
+    both looks then read only their columns.
+    """
+    split = features.split_by_newest_year(written(feature_rows, "features"), year)
     return features.impute_train_modes(split, presets.IMPUTED_COLUMNS)
 
 

@@ -57,6 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a columnar table in the shared folder: computed once, then read by column."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def blocks_of(spark: SparkSession) -> int:
     """How many range blocks an ordered operator uses: the session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
