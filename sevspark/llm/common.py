@@ -65,6 +65,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, eight bytes at a time; ``data`` has 8 bytes to spare at its end."""
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    at, left = start, stop - start
+    h = left.astype(np.uint64) * _B
+    live = None
+    while len(at):
+        x = eight[at] & _MASKS[np.minimum(left, 8)]
+        if live is None:
+            h = mix(h ^ x)
+        else:
+            h[live] = mix(h[live] ^ x)
+        keep = left > 8
+        live = np.flatnonzero(keep) if live is None else live[keep]
+        at, left = at[keep] + 8, left[keep] - 8
+    return h
+
+
 class Words:
     """The words of several texts: ``hash`` by word; text ``i`` has the words ``at[i]`` to ``at[i + 1]``.
 
@@ -83,23 +101,7 @@ class Words:
             flips = np.concatenate(([0], flips))
         self.start, self.stop = flips[0::2], flips[1::2]
         self.at = np.searchsorted(self.start, cuts)
-        self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        eight = np.ndarray((max(0, len(self.bytes) - 7),), "<u8", self.bytes, strides=(1,))
-        at, left = self.start, self.stop - self.start
-        h = left.astype(np.uint64) * _B
-        live = None
-        while len(at):
-            x = eight[at] & _MASKS[np.minimum(left, 8)]
-            if live is None:
-                h = mix(h ^ x)
-            else:
-                h[live] = mix(h[live] ^ x)
-            keep = left > 8
-            live = np.flatnonzero(keep) if live is None else live[keep]
-            at, left = at[keep] + 8, left[keep] - 8
-        return h
+        self.hash = span_hashes(self.bytes, self.start, self.stop)
 
     def word(self, i: int) -> bytes:
         return self.bytes[self.start[i] : self.stop[i]].tobytes()

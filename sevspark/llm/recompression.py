@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import written
 from .common import RunHash, Words, batch_of, mix, ranked, signed, slices, starts_of
@@ -160,17 +161,14 @@ def spans_by_row(rows: DataFrame, *columns: str) -> DataFrame:
 
 def repeats(docs: DataFrame, n: int, rounds: int) -> DataFrame:
     """``(ord, tid, start, windows)``: runs of windows that occur in a document of smaller ``ord``."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt once by key: the counts below and their joins all stay inside that exchange
-    found = instances(docs, n, rounds).repartition(width, "key")
-    bundles = found.groupBy("key", "bundle").agg(F.min("ord").alias("first"))
-    kinds = bundles.groupBy("key").agg(F.count("*").alias("kinds"))
-    judged = found.join(bundles, ["key", "bundle"]).join(kinds, "key").where("first < ord or kinds > 1")
-    judged = written(judged.select("ord", "tid", "key", "start", "windows", (F.col("first") < F.col("ord")).alias("whole")), "judged")
-    open_ = docs.join(spans_by_row(judged.where("not whole"), "key", "start", "windows"), ["ord", "tid"])
-    single = windows_of(open_, n).repartition(width, "key", "content")
-    least = single.groupBy("key", "content").agg(F.min("ord").alias("first"))
-    single = single.join(least, ["key", "content"]).where("first < ord").select("ord", "tid", "start", F.lit(1).alias("windows"))
+    # one exchange by key serves both windows
+    by_key, by_bundle = Window.partitionBy("key"), Window.partitionBy("key", "bundle")
+    found = instances(docs, n, rounds).select("*", (F.min("bundle").over(by_key) != F.max("bundle").over(by_key)).alias("various"))
+    judged = found.withColumn("whole", F.min("ord").over(by_bundle) < F.col("ord")).where("whole or various")
+    judged = written(judged.select("ord", "tid", "key", "start", "windows", "whole"), "judged")
+    opened = docs.join(spans_by_row(judged.where("not whole"), "key", "start", "windows"), ["ord", "tid"])
+    single = windows_of(opened, n).withColumn("first", F.min("ord").over(Window.partitionBy("key", "content")))
+    single = single.where("first < ord").select("ord", "tid", "start", F.lit(1).alias("windows"))
     return judged.where("whole").select("ord", "tid", "start", "windows").union(single)
 
 
