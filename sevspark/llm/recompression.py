@@ -118,6 +118,11 @@ def instances(docs: DataFrame, n: int, rounds: int) -> DataFrame:
             key = runs(low, high[head])
             whole = runs(start, start + count + n - 1)
             bundle = mix(whole ^ (low - start).astype(np.uint64))
+            # what stands again in the same text is found there: the first of each bundle speaks for all
+            order = np.lexsort((np.arange(len(head)), bundle, key, text[head]))
+            same = [x[order][1:] == x[order][:-1] for x in (text[head], key, bundle)]
+            once = np.sort(order[np.concatenate(([True], ~(same[0] & same[1] & same[2])))[: len(head)]])
+            head, start, count, key, bundle = head[once], start[once], count[once], key[once], bundle[once]
             own = pa.array(text[head])
             yield batch_of(
                 ord=b.column("ord").take(own), tid=b.column("tid").take(own), key=pa.array(signed(key)), bundle=pa.array(signed(bundle)),
