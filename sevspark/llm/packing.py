@@ -9,59 +9,119 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ..session import written
-from .common import SPACES, Words, batch_of, ranked, slices
+from .common import Words, batch_of, ranked, slices, span_hashes
+
+#: Distinct words whose ids one worker remembers at most; beyond it the memory starts anew.
+REMEMBERED = 600_000
+#: Letters before this one are the same in every version of the letter tables.
+LATIN = "\u0250"
+
+MARKS, PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+MARKS[[44, 46]] = True
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
-#: Distinct words whose ids one task remembers at most; beyond it the memory starts anew.
-REMEMBERED = 200_000
 #: Rows that share a rank bucket of one length, about.
 BUCKET_ROWS = 50_000
 
 
 class WordIds:
-    """Token ids of words, asked of the tokenizer once per distinct word."""
+    """Token ids of words, asked of the tokenizer once per distinct word and worker, as far as memory is allowed."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, words: list[bytes]) -> list[np.ndarray]:
+        self.whole, self.bare, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        # words of letters alone, lower-cased, need no more than this of the tokenizer's own steps
+        self.bare.normalizer = None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level])
+        size = self.whole.get_vocab_size(with_added_tokens=True)
+        self.last = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def lettered(self, words: list[str]) -> list[bytes] | None:
+        """Ids of many words at a time: each ends at the first id that closes a word."""
+        parts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        flat = np.array([k for e in self.bare.encode_batch_fast(parts, add_special_tokens=False) for k in e.ids], "<u4")
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(words):
+            return None
+        return [flat[a:z].tobytes() for a, z in zip(np.concatenate(([0], ends[:-1])), ends)]
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, words
-        if new:
-            said = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(x.ids, np.uint32) for x in said)))
+        plain, other = {}, []
+        for w in new:
+            t = w.decode("utf-8", "surrogatepass").lower()
+            if t.isalpha() and max(t) < LATIN:
+                plain[w] = t
+            else:
+                other.append(w)
+        found = self.lettered(list(plain.values())) if plain else []
+        if found is None:
+            other, found = new, []
+        self.known.update(zip(plain, found))
+        if other:
+            said = self.whole.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in other], add_special_tokens=False)
+            self.known.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in said)))
         return [self.known[w] for w in words]
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
+def chunks(texts: list[str | None]) -> Words:
+    """The words of the texts, full stops and commas at their end apart, A-Z lower-cased as the tokenizer will.
+
+    Between an ASCII letter or digit and a full stop or comma the tokenizer always cuts. Case is kept where special tokens may stand.
+    """
+    words = Words(texts, lower=not any(t and "<|" in t for t in texts))
+    tail, stop = np.zeros(len(words.stop), np.int64), words.stop
+    live = np.arange(len(stop))
+    while len(live):
+        at = stop[live] - tail[live] - 1
+        live = live[(at >= words.start[live]) & MARKS[words.bytes[at]]]
+        tail[live] += 1
+    cut = (tail > 0) & (tail < stop - words.start) & PLAIN[words.bytes[stop - tail - 1]]
+    where = np.flatnonzero(cut)
+    middle = stop[where] - tail[where]
+    words.start = np.insert(words.start, where + 1, middle)
+    words.stop = np.insert(stop, where, middle)
+    words.at = words.at + np.concatenate(([0], np.cumsum(cut)))[words.at]
+    words.hash = span_hashes(words.bytes, words.start, words.stop)
+    return words
+
+
 def ids_of(texts: list[str | None], ids: WordIds, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by ``end``, and their bounds.
 
     The tokenizer drops white space and never joins what stands around it, so a text has the ids of its words in a row.
     """
-    import pandas as pd
-
-    words = Words(texts, gaps=SPACES)
+    words = chunks(texts)
     code, names = pd.factorize(words.hash)
     first = np.zeros(len(names), np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
-    known = ids([words.word(i) for i in first]) + [np.array([end], np.uint32)]
-    size = np.array([len(x) for x in known])
+    known = [*ids([words.word(i) for i in first]), np.array([end], "<u4").tobytes()]
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
     begin = np.cumsum(size) - size
     # the end stands after the last word of each text
     code = np.insert(code, words.at[1:], len(names))
     count = size[code]
     total = np.cumsum(count)
-    flat = np.concatenate(known)[np.arange(total[-1] if len(total) else 0) + np.repeat(begin[code] - (total - count), count)]
+    place = np.arange(total[-1] if len(total) else 0) + np.repeat(begin[code] - (total - count), count)
+    flat = np.frombuffer(b"".join(known), "<u4")[place]
     stop = words.at[1:] + np.arange(1, len(words.at))
     return flat, np.concatenate(([0], total[stop - 1]))
 
@@ -73,7 +133,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         for b in slices(batches, "text"):
             flat, bounds = ids_of(b.column("text").to_pylist(), ids, end)
             count = -(-np.diff(bounds) // capacity)
