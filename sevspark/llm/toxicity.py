@@ -25,6 +25,8 @@ WORDS, TRIGRAMS, WIDTH, HIDDEN = 1 << 14, 1 << 12, 8, 8
 SAMPLE = {1: 1500, 0: 3000}
 LONGEST = 20_000
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
+#: Steps of training at least: a small sample is gone through more often.
+STEPS = 250
 
 GAPS = np.ones(256, bool)
 GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -188,7 +190,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
         return model
     model.prior = float(labels.mean())
     m, v, step = {k: np.zeros_like(x) for k, x in model.p.items()}, {k: np.zeros_like(x) for k, x in model.p.items()}, 0
-    for epoch in range(epochs):
+    for epoch in range(max(epochs, -(-STEPS * BATCH // len(texts)))):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             x = Inputs([texts[k] for k in order[i : i + BATCH]])
