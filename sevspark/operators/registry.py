@@ -31,10 +31,23 @@ def previous_promotion(versions: DataFrame) -> Column:
     return pair.select(F.when(F.size("p") > 1, F.col("p")[0])).scalar()
 
 
-def rollback(versions: DataFrame) -> DataFrame:
-    """Hand the alias back to the version promoted before; promotion times stay."""
-    back = previous_promotion(versions)
-    chosen = F.coalesce((F.col("model") == back["model"]) & (F.col("version") == back["version"]), F.lit(False))
+def live_version(versions: DataFrame) -> tuple[str, int] | None:
+    """Model and version that hold the alias now: what a deployment saves before it promotes another."""
+    row = versions.filter(F.col("alias") == LIVE).select("model", "version").first()
+    return (row["model"], row["version"]) if row else None
+
+
+def rollback(versions: DataFrame, saved: tuple[str, int] | None = None) -> DataFrame:
+    """Hand the alias back to the ``saved`` model and version; promotion times stay.
+
+    Without one it goes to the version promoted before the newest, which is the same only right after a promotion.
+    """
+    if saved:
+        model, version = F.lit(saved[0]), F.lit(saved[1])
+    else:
+        back = previous_promotion(versions)
+        model, version = back["model"], back["version"]
+    chosen = F.coalesce((F.col("model") == model) & (F.col("version") == version), F.lit(False))
     return versions.withColumn("alias", F.when(chosen, F.lit(LIVE)))
 
 

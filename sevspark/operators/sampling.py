@@ -15,20 +15,26 @@ from .ordered import row_index
 _LEVELS = ((36, 16), (20, 16), (0, 20))  # (shift, bits) of the 52-bit draw, coarse to fine
 
 
-TOP_LIMIT = 100_000  # up to here a sample may pass through one task
-
-
 def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """The n rows with the smallest draws.
+    """The n rows with the smallest draws, exactly n whatever their number (all rows of a smaller table).
 
-    A small sample is a top-n: each task keeps n rows. A large one filters by the n-th draw, so it
-    stays distributed (rows with equal keys then stay together).
+    Everything below the n-th draw is kept by a filter. Rows that share the n-th draw, so mostly those of equal keys, are
+    chosen by a second draw over all columns; what is tied even there is the same row, and any of them will do.
     """
-    if n > TOP_LIMIT:
-        if df.count() <= n:
-            return df
-        return df.filter(hashing.hash_int(keys, seed) <= kth_draw(df, keys, n, seed))
-    return df.withColumn("_h", hashing.row_hash(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
+    if n <= 0:
+        return df.limit(0)
+    if df.count() <= n:
+        return df
+    below, tied, left = _split_at(df, keys, n, seed)
+    sure, same, left = _split_at(tied, df.columns, left, seed)
+    return below.union(sure).union(same.limit(left))
+
+
+def _split_at(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows below the n-th draw, rows of that draw, and how many of the latter are wanted."""
+    draw, limit = hashing.hash_int(keys, seed), kth_draw(df, keys, n, seed)
+    below = df.filter(draw < limit)
+    return below, df.filter(draw == limit), n - below.count()
 
 
 def kth_draw(df: DataFrame, keys: Sequence[str], k: int, seed: int) -> int:

@@ -34,6 +34,10 @@ def message(level: Column | str, table: str, check: str, detail: Column) -> Colu
 # ---- counters -------------------------------------------------------------------------------
 
 
+#: Least and greatest value of the whole-number types.
+WHOLE = {"int": (-(2**31), 2**31 - 1), "bigint": (-(2**63), 2**63 - 1)}
+
+
 def cast_failures(df: DataFrame, schema: Mapping[str, tuple]) -> dict[str, Column]:
     """Per column: values that cannot take the declared type. A column already of its type costs nothing."""
     have = dict(df.dtypes)
@@ -41,6 +45,11 @@ def cast_failures(df: DataFrame, schema: Mapping[str, tuple]) -> dict[str, Colum
     def failures(c: str, kind: str) -> Column:
         if have[c] == kind or kind == "string":
             return F.lit(0).cast("bigint")
+        if have[c] in ("double", "float") and kind in WHOLE:
+            # whole numbers stand as doubles where a column has nulls
+            least, most = WHOLE[kind]
+            fits = (F.col(c) == F.floor(F.col(c))) & F.col(c).between(least, most)
+            return F.count_if(F.col(c).isNotNull() & ~F.coalesce(fits, F.lit(False)))
         return F.count_if(F.col(c).isNotNull() & F.col(c).cast("string").try_cast(kind).isNull())
 
     return {c: failures(c, kind) for c, (kind, _) in schema.items() if c in have}

@@ -31,7 +31,7 @@ def local_session(cores: int | str = 8, app: str = "sevspark", partitions: int =
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only when no checkpoint folder is set at all (tests, local runs) is a fresh temporary one made.
+    Only where none is set and everything runs in this process is a fresh temporary one made; a cluster must name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sevspark-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

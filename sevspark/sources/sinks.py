@@ -24,9 +24,12 @@ def stamp_predictions(scored: DataFrame, version: str, year_month: str | None =
     )
 
 
-def append_predictions(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch to its own folder; a repeated batch replaces itself instead of doubling."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+def append_predictions(df: DataFrame, path: str, batch_id: int, writer: str) -> None:
+    """Write one batch to the folder of its writer (a job run or a stream) and number.
+
+    A batch that the same writer repeats replaces itself instead of doubling; another writer never touches it.
+    """
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/writer={writer}/batch_id={batch_id}")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

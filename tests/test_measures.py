@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sevspark.functions import hashing
 from sevspark.operators import aggregate, alerts, drift, evaluate, intervals, knn, metrics, ordered, rank, sampling
 
 
@@ -49,11 +50,15 @@ def test_copies_of_one_row_spread_over_blocks(spark):
     assert sorted(r["c"] for r in o.rows().filter("s = 'a'").collect()) == list(range(1, 301))
 
 
-def test_large_samples_stay_distributed(spark, monkeypatch):
-    small = sampling.sample_n(spark.range(500), ["id"], 60).collect()
-    monkeypatch.setattr(sampling, "TOP_LIMIT", 50)
-    assert sorted(sampling.sample_n(spark.range(500), ["id"], 60).collect()) == sorted(small)
+def test_samples_have_exactly_n_rows(spark):
+    rows = spark.range(500)
+    got = sorted(r["id"] for r in sampling.sample_n(rows, ["id"], 60).collect())
+    draws = rows.select("id", hashing.hash_int(["id"], 42).alias("d")).orderBy("d").limit(60).collect()
+    assert got == sorted(r["id"] for r in draws)
     assert sampling.sample_n(spark.range(50), ["id"], 60).count() == 50
+    # keys that many rows share, and rows that are the same in all columns
+    ties = spark.range(3000).selectExpr("id % 10 as k", "id % 100 as v")
+    assert sampling.sample_n(ties, ["k"], 777).count() == 777
 
 
 def test_row_index_is_dense(spark):
