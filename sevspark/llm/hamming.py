@@ -69,7 +69,8 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int, segments: int, ke
         ))
         probes = open_.select("*", F.posexplode("query").alias("segment", "own")).select("*", flips.alias("flip"))
         probes = probes.select("query_id", "query", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).where("id != query_id")
+        # probes are many times the queries they come from: they must not be taken for a small table and broadcast
+        met = probes.join(index.hint("merge"), ["segment", "value"]).where("id != query_id")
         met = met.select("query_id", "id", distance("query", "code").alias("distance")).distinct()
         # a row that another segment met before is the same row again
         met = met.union(best).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
