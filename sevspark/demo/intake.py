@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import presets
@@ -140,6 +142,15 @@ _NAMES = """CASE doc_id % 6 WHEN 0 THEN 'carcteristiques' WHEN 1 THEN 'lieux' WH
   || CAST(2021 + doc_id % 4 AS STRING)"""
 
 
+# one category after the other, each without the files that went before
+_PICKS = ",\n    ".join(
+    f"b{i} AS (SELECT * FROM o WHERE category = '{c}'"
+    + "".join(f" AND NOT EXISTS (FROM b{j} WHERE b{j}.source = o.source AND b{j}.name = o.name)" for j in range(1, i))
+    + " QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, name DESC) = 1)"
+    for i, c in enumerate(presets.CATEGORY_KEYWORDS, start=1)
+)
+
+
 @query(
     "src_match_files",
     f"""WITH f AS (SELECT DISTINCT source, {_NAMES} AS name FROM documents),
@@ -150,9 +161,8 @@ _NAMES = """CASE doc_id % 6 WHEN 0 THEN 'carcteristiques' WHEN 1 THEN 'lieux' WH
     m AS (SELECT source, name, c AS category, 1 - levenshtein(regexp_replace(lower(name), '[\\s_-]*\\d+$', ''), c)
       / greatest(length(regexp_replace(lower(name), '[\\s_-]*\\d+$', '')), length(c)) AS score FROM r,
       (VALUES ('caracteristiques'), ('lieux'), ('usagers'), ('vehicules')) v(c)),
-    o AS (SELECT m.* FROM m ANTI JOIN s USING (source, category) WHERE score >= 0.75
-      QUALIFY row_number() OVER (PARTITION BY source, name ORDER BY score DESC, category DESC) = 1),
-    b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source, category ORDER BY score DESC, name DESC) = 1)
+    o AS (SELECT m.* FROM m ANTI JOIN s USING (source, category) WHERE score >= 0.75), {_PICKS},
+    b AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4)
     SELECT source, category, name, 1.0::DOUBLE AS score, 'keyword' AS how FROM s
     UNION ALL SELECT source, category, name, round(score, 6), 'similarity' FROM b""",
 )
@@ -178,12 +188,22 @@ def _(t: Tables):
 # ---- files ----------------------------------------------------------------------------------
 
 
-@query("src_header_check", "SELECT year, 'ok' AS verdict FROM (" + RAW_YEARS + ")", "caracteristiques")
+@query(
+    "src_header_check",
+    f"""SELECT year, c AS category, v AS verdict FROM ({RAW_YEARS}), (VALUES ('caracteristiques', 'ok'), ('lieux', 'ok'), ('usagers', 'ok'),
+      ('vehicules', 'ok'), ('lieux as usagers', 'missing: grav,catu'), ('large', 'too small')) v(c, v)""",
+    "caracteristiques",
+)
 def _(t: Tables):
-    heads = tables.header_lines(t.spark, yearly_csv(t, ["caracteristiques"]))
-    checked = tables.check_headers(heads, presets.HEADER_COLUMNS, "caracteristiques", 1)
-    year = F.regexp_extract("path", listing.YEAR_FOLDER, 1).cast("int")
-    return checked.select(year.alias("year"), F.coalesce("problem", F.lit("ok")).alias("verdict")).distinct()
+    def verdicts(files: str, category: str, label: str, least: int = 1):
+        checked = tables.check_headers(heads[files], presets.HEADER_COLUMNS, category, least)
+        year = F.regexp_extract("path", listing.YEAR_FOLDER, 1).cast("int")
+        return checked.select(year.alias("year"), F.lit(label).alias("category"), F.coalesce("problem", F.lit("ok")).alias("verdict"))
+
+    heads = {n: tables.header_lines(t.spark, yearly_csv(t, [n])) for n in RAW}
+    parts = [verdicts(n, n, n) for n in RAW]
+    parts += [verdicts("lieux", "usagers", "lieux as usagers"), verdicts("lieux", "lieux", "large", 2**40)]
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
 @query(
@@ -263,7 +283,7 @@ def _(t: Tables):
 
     folder = work_path(t.spark, "drift")
     s = yearly_summaries(t)
-    sinks.write_drift_reports(s, folder, s.orderBy(F.col("year").desc()).limit(1))
+    sinks.write_drift_reports(s, folder)
     kinds = "year int, level string, drifted_count bigint, drift_share double"
     return t.spark.read.schema(kinds).json(f"{folder}/reports").select("year", "level", "drifted_count", "drift_share")
 
@@ -322,16 +342,32 @@ def _(t: Tables):
 
 @query(
     "val_coerce_types",
-    """SELECT 'jour' AS "column", CAST(0 AS BIGINT) AS n UNION ALL SELECT 'dep', count(*) FILTER (TRY_CAST(trim(replace(dep, chr(160), '')) AS INT) IS NULL)
-      FROM caracteristiques UNION ALL SELECT 'lat', count(*) FILTER (TRY_CAST(lat AS DOUBLE) IS NULL) FROM caracteristiques""",
-    "caracteristiques",
+    """WITH f AS (SELECT count(*) FILTER (TRY_CAST(trim(replace(dep, chr(160), '')) AS INT) IS NULL) AS dep,
+        count(*) FILTER (TRY_CAST(lat AS DOUBLE) IS NULL) AS lat FROM caracteristiques)
+    SELECT 'caracteristiques' AS "table", c AS "column", n, dep + lat AS failures, CASE WHEN dep + lat = 0 THEN wanted ELSE 'string' END AS type
+      FROM f, LATERAL (VALUES ('dep', dep, 'int'), ('lat', lat, 'double')) v(c, n, wanted)
+    UNION ALL SELECT 'lieux', c, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'int' FROM (VALUES ('catr'), ('vma')) v(c)
+      WHERE (SELECT count(*) FROM lieux) > 0""",
+    "caracteristiques lieux",
 )
 def _(t: Tables):
-    df = cleanse.clean_strings(t.caracteristiques)
-    wanted = {"jour": ("int", None), "dep": ("int", None), "lat": ("double", None)}
-    _, failures = validate.coerce(df, wanted)
-    assert failures >= 0
-    return validate.counts_frame(df, validate.cast_failures(df, wanted))
+    # one table that keeps its text, and one that takes its types
+    cases = {
+        "caracteristiques": (cleanse.clean_strings(t.caracteristiques), {"dep": ("int", None), "lat": ("double", None)}),
+        "lieux": (t.lieux.select(F.col("catr").cast("string"), F.col("vma").cast("string")), {"catr": ("int", None), "vma": ("int", None)}),
+    }
+    parts = []
+    for name, (df, wanted) in cases.items():
+        typed, failures = validate.coerce(df, wanted)
+        have = dict(typed.dtypes)
+        kinds = F.create_map(*[F.lit(x) for c in wanted for x in (c, have[c])])
+        counts = validate.counts_frame(df, validate.cast_failures(df, wanted))
+        parts.append(
+            counts.select(
+                F.lit(name).alias("table"), "column", "n", F.lit(failures).cast("bigint").alias("failures"), kinds[F.col("column")].alias("type")
+            )
+        )
+    return parts[0].unionByName(parts[1])
 
 
 @query(

@@ -130,8 +130,7 @@ def _(t: Tables):
 
 @query("ml_predict_examples")
 def _(t: Tables):
-    # the incidents of the deadliest hour, as named cases
-    cases = split_table(t).filter("hour = 23").select("Num_Acc", *FEATURES)
+    cases = split_table(t).select("Num_Acc", *FEATURES)
     return predict(t)(cases).select("Num_Acc", "vma", "hour", "prediction", "probability")
 
 

@@ -218,12 +218,13 @@ _TYPE = """CASE WHEN {v} IN ('True', 'False') THEN 'bool' WHEN {v} = 'None' THEN
 @query(
     "ml_param_coerce",
     f"""WITH p AS (SELECT run_id, 'max_depth' AS param, param AS value FROM model_runs
-      UNION ALL SELECT run_id, 'learning_rate', '0.1' FROM model_runs UNION ALL SELECT run_id, 'n_train', '100' FROM model_runs)
-    SELECT run_id, param, value, {_TYPE.format(v='value')} AS type FROM p""",
+      UNION ALL SELECT run_id, 'learning_rate', '0.1' FROM model_runs UNION ALL SELECT run_id, 'n_train', '100' FROM model_runs
+      UNION ALL SELECT run_id, 'algorithm', algo FROM model_runs UNION ALL SELECT run_id, 'years', years FROM model_runs)
+    SELECT run_id, param, value, {_TYPE.format(v='value')} AS type, TRY_CAST(value AS DOUBLE) AS number FROM p""",
     "model_runs",
 )
 def _(t: Tables):
-    return registry.typed_params(runs(t)).filter(F.col("param").isin("max_depth", "learning_rate", "n_train"))
+    return registry.typed_params(runs(t)).drop("flag")
 
 
 @query(

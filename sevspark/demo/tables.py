@@ -114,8 +114,10 @@ def _(t: Tables):
     UNION ALL SELECT Num_Acc, 'usr', nullif(secu1, -1), CAST(nullif(nullif(trajet, -1), 0) AS DOUBLE), CAST(place AS DOUBLE)
       FROM usagers
     UNION ALL SELECT Num_Acc, 'loc', CAST(nullif(circ, -1) AS DOUBLE), CAST(nullif(surf, -1) AS DOUBLE),
-      CAST(nullif(situ, -1) AS DOUBLE) FROM lieux""",
-    "vehicules usagers lieux",
+      CAST(nullif(situ, -1) AS DOUBLE) FROM lieux
+    UNION ALL SELECT Num_Acc, 'vma', CAST(nullif(vma, -1) AS DOUBLE), CAST(catr AS DOUBLE), CAST(nullif(circ, -1) AS DOUBLE) FROM lieux
+    UNION ALL SELECT Num_Acc, 'car', CAST(nullif(atm, -1) AS DOUBLE), CAST(nullif(col, -1) AS DOUBLE), CAST(lum AS DOUBLE) FROM caracteristiques""",
+    "vehicules usagers lieux caracteristiques",
 )
 def _(t: Tables):
     marks = {-1: presets.NULL_IF_MINUS_ONE, 0: presets.NULL_IF_ZERO}
@@ -131,6 +133,8 @@ def _(t: Tables):
             part(t.vehicules, "veh", ["catv", "obsm", "motor"]),
             part(t.usagers, "usr", ["secu1", "trajet", "place"]),
             part(t.lieux, "loc", ["circ", "surf", "situ"]),
+            part(t.lieux, "vma", ["vma", "catr", "circ"]),
+            part(t.caracteristiques, "car", ["atm", "col", "lum"]),
         ]
     )
 
@@ -226,16 +230,19 @@ def _(t: Tables):
 
 @query(
     "proj_union_years",
-    """SELECT 1995 + 0 * o_orderkey AS yr, o_orderkey, CAST(NULL AS VARCHAR) AS prio FROM orders WHERE year(o_orderdate) = 1995
-    UNION ALL SELECT 1996, o_orderkey, o_orderpriority FROM orders WHERE year(o_orderdate) = 1996""",
+    """SELECT CAST(year(o_orderdate) AS BIGINT) AS yr, o_orderkey, CASE WHEN year(o_orderdate) >= 1996 THEN o_orderpriority END AS prio
+    FROM orders WHERE o_orderdate IS NOT NULL""",
 )
 def _(t: Tables):
     year = F.year("o_orderdate")
-    old = t.orders.filter(year == 1995).select(F.lit(1995).cast("bigint").alias("yr"), "o_orderkey")
-    new = t.orders.filter(year == 1996).select(
-        F.lit(1996).cast("bigint").alias("yr"), "o_orderkey", F.col("o_orderpriority").alias("prio")
-    )
-    return cleanse.union_years([old, new])
+    found = sorted(r[0] for r in t.orders.select(year).distinct().dropna().collect())
+
+    def one(y: int):
+        # the first years know no priority
+        prio = [F.col("o_orderpriority").alias("prio")] if y >= 1996 else []
+        return t.orders.filter(year == y).select(F.lit(y).cast("bigint").alias("yr"), "o_orderkey", *prio)
+
+    return cleanse.union_years([one(y) for y in found])
 
 
 # ---- joins ----------------------------------------------------------------------------------

@@ -99,31 +99,35 @@ def _ln_gamma(a: Column) -> Column:
     return (a + 0.5) * F.ln(tmp) - tmp + F.ln(F.lit(math.sqrt(2 * math.pi)) * series / a)
 
 
-def chi2_p_value(chi2: Column, dof: Column, terms: int = 400) -> Column:
+def chi2_p_value(chi2: Column, dof: Column) -> Column:
     """Upper tail of the chi-square distribution, for the few rows of a drift report.
 
-    The power series of the lower incomplete gamma near the mean, the Wilson-Hilferty normal
-    approximation where the series would need too many terms.
+    The incomplete gamma function: below the mean by its power series, above it by its continued fraction. Both need
+    a number of terms that grows with the root of the degrees of freedom, and get it.
     """
     a, x = dof / 2.0, chi2 / 2.0
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    steps = F.sequence(F.lit(1), F.ceil(60 + 12 * F.sqrt(F.greatest(a, F.lit(1.0)))).cast("int"))
+    scale = F.exp(-x + a * F.ln(x) - _ln_gamma(a))
+
     walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)), start,
+        steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
         lambda s, k: F.struct(
             (s["term"] * x / (a + k)).alias("term"), (s["total"] + s["term"] * x / (a + k)).alias("total")
         ),
     )
-    lower = walked["total"] * F.exp(-x + a * F.ln(x) - _ln_gamma(a)) / a
-    cube = F.pow(F.try_divide(chi2, dof), F.lit(1 / 3))
-    z = (cube - (1 - 2 / (9.0 * dof))) / F.sqrt(2 / (9.0 * dof))
-    # logistic form of the normal tail
-    tail = 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
-    near = F.least(F.greatest(1 - lower, F.lit(0.0)), F.lit(1.0))
-    return (
-        F.when((dof <= 0) | (chi2 <= 0), F.lit(1.0))
-        .when(x + a < terms / 2, near)
-        .otherwise(tail)
-    )
+    lower = walked["total"] * scale / a
+
+    first = x + 1 - a
+    start = F.struct(F.lit(1e300).alias("c"), F.try_divide(F.lit(1.0), first).alias("d"), F.try_divide(F.lit(1.0), first).alias("value"))
+
+    def step(s: Column, k: Column) -> Column:
+        top, bottom = -k * (k - a), first + 2 * k
+        c, d = bottom + F.try_divide(top, s["c"]), F.try_divide(F.lit(1.0), top * s["d"] + bottom)
+        return F.struct(c.alias("c"), d.alias("d"), (s["value"] * c * d).alias("value"))
+
+    upper = F.aggregate(steps, start, step)["value"] * scale
+    tail = F.when(x < a + 1, 1 - lower).otherwise(upper)
+    return F.when((dof <= 0) | (chi2 <= 0), F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
 def column_flags(

@@ -116,6 +116,8 @@ def tagged_newest(runs: DataFrame, tag: str, value: str, drop: Sequence[str] = p
 
 
 def typed_params(runs: DataFrame) -> DataFrame:
-    """One row per run and parameter with the type its text stands for."""
+    """One row per run and parameter: its text, the type the text stands for, and the value as ``number`` or ``flag``."""
     rows = runs.select("run_id", F.explode("params").alias("param", "value"))
-    return rows.withColumn("type", text.typed_text(F.col("value")))
+    rows = rows.withColumn("type", text.typed_text(F.col("value")))
+    number = F.when(F.col("type").isin("int", "float"), F.col("value").try_cast("double"))
+    return rows.withColumns({"number": number, "flag": F.when(F.col("type") == "bool", F.col("value") == "True")})

@@ -74,6 +74,17 @@ def domain_failures(df: DataFrame, schema: Mapping[str, tuple]) -> dict[str, Col
     }
 
 
+def missing_values(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Per declared non-null column: rows without a value. A NaN of a numeric column has none."""
+    have = dict(df.dtypes)
+
+    def missing(c: str) -> Column:
+        gone = F.col(c).isNull()
+        return F.count_if(gone | F.isnan(c)) if have[c] in ("double", "float") else F.count_if(gone)
+
+    return {c: missing(c) for c in columns if c in have}
+
+
 def null_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, rate)`` from one pass."""
     names = list(columns or df.columns)
@@ -140,11 +151,14 @@ def changed_types(df: DataFrame, schema: Mapping[str, tuple]) -> list[str]:
 
 
 def _schema_checks(
-    df: DataFrame, table: str, schema: Mapping[str, tuple], required: Sequence[str], renamed: Sequence[str]
+    df: DataFrame, table: str, schema: Mapping[str, tuple], required: Sequence[str], renamed: Sequence[str],
+    not_null: Sequence[str] | None = None,
 ) -> tuple[dict[str, Column], list[Column]]:
     """Counters of level 2 and the messages built on them."""
     bad = {f"type:{c}": n for c, n in cast_failures(df, schema).items()}
     bad |= {f"domain:{c}": n for c, n in domain_failures(df, schema).items()}
+    not_null = presets.NOT_NULL_COLUMNS.get(table, ()) if not_null is None else not_null
+    bad |= {f"nullable:{c}": n for c, n in missing_values(df, not_null).items()}
     listed = F.array_compact(
         F.array(
             *[F.when(F.col(f"`{k}`") > 0, F.concat(F.lit(f"{k}="), F.col(f"`{k}`").cast("string"))) for k in bad]
@@ -181,12 +195,12 @@ def schema_messages(
     return _unfold(df, *_schema_checks(df, table, schema, required, renamed))
 
 
-def coerce(df: DataFrame, schema: Mapping[str, tuple]) -> tuple[DataFrame, int]:
-    """The table in its declared types, or unchanged when any value fails a cast or a check.
+def coerce(df: DataFrame, schema: Mapping[str, tuple], not_null: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """The table in its declared types, or unchanged when any value fails a cast or a check or is missing in ``not_null``.
 
     The decision changes the schema, so it needs one small row of counters on the driver.
     """
-    counters = [*cast_failures(df, schema).values(), *domain_failures(df, schema).values()]
+    counters = [*cast_failures(df, schema).values(), *domain_failures(df, schema).values(), *missing_values(df, not_null).values()]
     failures = df.agg(sum(counters, F.lit(0)).alias("n")).first()["n"]
     if failures:
         return df, failures

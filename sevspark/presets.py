@@ -75,6 +75,12 @@ TABLE_SCHEMAS = {
         "motor": ("int", None),
     },
 }
+NOT_NULL_COLUMNS = {
+    "caracteristiques": ["Num_Acc", "jour", "mois", "lum", "dep", "agg", "int"],
+    "lieux": ["Num_Acc"],
+    "usagers": ["Num_Acc", "id_vehicule", "num_veh", "catu", "grav", "sexe"],
+    "vehicules": ["Num_Acc", "id_vehicule", "num_veh"],
+}
 ROW_COUNT_BOUNDS = (40_000, 90_000)
 NULL_RATE_LIMIT = 0.30
 SPARSE_LIMIT = 0.70

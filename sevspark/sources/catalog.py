@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import presets
 from ..operators import joins, rank
@@ -71,7 +72,9 @@ def match_files(
 ) -> DataFrame:
     """File per group (folder) and category: by keyword first, by name similarity for what is left.
 
-    A file serves one category: in the similarity step it stands for the category it resembles most.
+    In the similarity step the categories choose one after the other, in the order of ``keywords``, among the files not yet
+    taken; ties go to the greater name. A category can lose at most one file to each other one, so as many best files as
+    there are categories decide the choice.
     """
     group = list(group)
     files = names.select(*group, name).distinct()
@@ -83,9 +86,17 @@ def match_files(
     scored = joins.fuzzy_to_names(rest.withColumnRenamed(name, "_file"), "_file", list(keywords), threshold)
     scored = scored.withColumnsRenamed({"name": "category", "_file": name})
     open_ = scored.join(strict.select(*group, "category"), [*group, "category"], "left_anti")
-    own = open_.groupBy(*group, name).agg(F.max_by(F.struct("category", "score"), F.struct("score", "category")).alias("_b"))
-    own = own.select(*group, name, "_b.*")
-    fuzzy = own.groupBy(*group, "category").agg(
-        F.max_by(F.struct(name, "score"), F.struct("score", name)).alias("_b")
-    ).select(*group, "category", "_b.*").withColumn("how", F.lit("similarity"))
+    place = F.row_number().over(Window.partitionBy(*group, "category").orderBy(F.desc("score"), F.desc(name)))
+    best = open_.withColumn("_n", place).filter(F.col("_n") <= len(keywords))
+    offers = best.groupBy(*group).agg(F.collect_list(F.struct("score", F.col(name).alias("file"), "category")).alias("_o"))
+
+    def choose(taken: Column, category: Column) -> Column:
+        free = F.filter("_o", lambda o: (o["category"] == category) & ~F.exists(taken, lambda x: x["file"] == o["file"]))
+        return F.concat(taken, F.array_compact(F.array(F.array_max(free))))
+
+    none = F.filter("_o", lambda o: F.lit(False))
+    chosen = F.aggregate(F.array(*[F.lit(c) for c in keywords]), none, choose)
+    fuzzy = offers.select(*group, F.explode(chosen).alias("_b")).select(
+        *group, "_b.category", F.col("_b.file").alias(name), "_b.score", F.lit("similarity").alias("how")
+    )
     return strict.unionByName(fuzzy)

@@ -36,9 +36,11 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_drift_reports(summaries: DataFrame, folder: str, latest: DataFrame) -> None:
-    """All yearly summaries as JSON, plus the newest one under ``latest``."""
+def write_drift_reports(summaries: DataFrame, folder: str) -> None:
+    """All yearly summaries as JSON, plus the newest one under ``latest``, taken from what was written."""
     summaries.write.mode("overwrite").partitionBy("year").json(f"{folder}/reports")
+    kept = summaries.sparkSession.read.schema(summaries.schema).json(f"{folder}/reports")
+    latest = kept.filter(F.col("year") == kept.agg(F.max("year")).scalar())
     latest.write.mode("overwrite").json(f"{folder}/latest")
 
 

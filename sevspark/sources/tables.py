@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,26 +38,57 @@ def check_headers(headers: DataFrame, required: Mapping[str, Sequence[str]], cat
     return headers.withColumn("problem", problem)
 
 
-def sniff(spark: SparkSession, path: str, lines: int = 6) -> tuple[str, str] | None:
-    """Separator and encoding from the first lines: the first pair giving more than one column."""
-    head = [r["value"] for r in spark.read.option("recursiveFileLookup", "true").text(path).limit(lines).collect()]
-    if not head:
-        return None
-    encoding = "ISO-8859-1" if any("�" in line for line in head) else "UTF-8"
-    for sep in SEPARATORS:
-        if len(head[0].split(sep)) > 1:
-            return sep, encoding
-    return None
+def profiles(spark: SparkSession, path: str) -> list[tuple[str, bool, list[str]]]:
+    """``(header, valid UTF-8, files)`` for each kind of file below ``path``, judged over whole files.
+
+    The driver gets file names, as it does for any listing.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+    )
+    files = lines.groupBy("path").agg(
+        F.min_by("value", F.struct("block", "pos")).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    )
+    kinds = files.groupBy(F.hex(F.col("header").cast("binary")).alias("header"), "utf8").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [
+        (bytes.fromhex(r["header"]).decode("utf-8" if r["utf8"] else "iso-8859-1").removeprefix("\ufeff"), r["utf8"], r["paths"])
+        for r in kinds.orderBy(F.col("paths")[0]).collect()
+    ]
+
+
+def _literal(uri: str) -> str:
+    """A file's address as a path that is not taken for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """CSV with sniffed separator and encoding; text columns unless a schema is given, no inference pass."""
-    found = sniff(spark, path)
-    if found is None:
+    """CSV files whose separator and encoding may differ; text columns unless a schema is given, no inference pass.
+
+    A file is ISO-8859-1 if any of its lines is not UTF-8, and has the first separator that its header holds. Files are read by
+    their own headers and joined by column name; columns that a file lacks are NULL. None if no file has two columns;
+    some with and some without are an error, since rows would be lost.
+    """
+    kinds = profiles(spark, path)
+    found = [(next((s for s in SEPARATORS if s in header), None), utf8, files) for header, utf8, files in kinds]
+    if all(sep is None for sep, _, _ in found):
         return None
-    reader = spark.read.option("header", "true").option("recursiveFileLookup", "true")
-    reader = reader.option("sep", found[0]).option("encoding", found[1])
-    return (reader.schema(schema) if schema else reader).csv(path)
+    if odd := [f for sep, _, files in found for f in files if sep is None]:
+        raise ValueError(f"no separator in {', '.join(odd)}")
+    types = {f.name: f.dataType for f in schema or ()}
+    parts = []
+    for sep, utf8, files in found:
+        reader = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("sep", sep)
+        reader = reader.option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
+        paths = [_literal(f) for f in files]
+        names = reader.csv(paths[0]).columns
+        own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        part = reader.schema(own).csv(paths)
+        parts.append(part.select(*[n for n in names if n in types]) if schema else part)
+    out = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
+    if schema:
+        out = out.select(*[F.col(n) if n in out.columns else F.lit(None).cast(k).alias(n) for n, k in types.items()])
+    return out
 
 
 def load_split(spark: SparkSession, path: str, split: str) -> DataFrame:

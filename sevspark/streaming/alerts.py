@@ -62,7 +62,13 @@ def run_alerts(
     stream: DataFrame, ts: str, keys: Sequence[str], ties: Sequence[str], step_s: int, for_s: int, late_s: int = 600,
     path: str | None = None, checkpoint: str | None = None,
 ) -> DataFrame:
-    """Alerts of a stream of ``keys, ts, breach``; returns the table of fired alerts."""
+    """Alerts of a stream of ``keys, ts, breach``; returns the table of fired alerts.
+
+    To go on after a restart give both ``path`` (alerts and state) and ``checkpoint`` (offsets). A later batch that
+    does not find the state of the one before it fails: it would start again from nothing.
+    """
+    if (path is None) != (checkpoint is None):
+        raise ValueError("path and checkpoint belong together")
     spark = stream.sparkSession
     base = path or work_path(spark, "alerts")
     samples = stream.withColumn("_t", F.unix_timestamp(ts))
@@ -70,7 +76,9 @@ def run_alerts(
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = f"{base}/state/batch={batch_id - 1}"
-        state = session.read.parquet(before) if batch_id > 0 and exists(session, before) else None
+        if batch_id > 0 and not exists(session, before):
+            raise RuntimeError(f"no state at {before}")
+        state = session.read.parquet(before) if batch_id > 0 else None
         fired, after = advance(batch, state, keys, ties, step_s, for_s, late_s)
         fired.write.mode("overwrite").parquet(f"{base}/fired/batch={batch_id}")
         after.write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")

@@ -104,7 +104,7 @@ def test_drift_statistics(spark):
     assert r["std_ref"] == pytest.approx(a.std())
 
 
-@pytest.mark.parametrize("chi2, dof, p", [(3.841459, 1, 0.05), (18.307, 10, 0.05), (2.0, 5, 0.8491), (124.342, 100, 0.05), (1043.5, 950, 0.018)])
+@pytest.mark.parametrize("chi2, dof, p", [(3.841459, 1, 0.05), (18.307, 10, 0.05), (2.0, 5, 0.8491), (124.342, 100, 0.05), (1043.5, 950, 0.018), (100000.0, 100000, 0.49941), (30.0, 1000, 1.0), (80.0, 2, 4.2484e-18)])
 def test_chi_square_tail(spark, chi2, dof, p):
     got = spark.range(1).select(drift.chi2_p_value(F.lit(chi2), F.lit(dof))).first()[0]
     assert got == pytest.approx(p, abs=2e-3)
