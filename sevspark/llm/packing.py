@@ -7,6 +7,7 @@ number of documents. Pieces then take planned places by their rank within their
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -23,7 +24,11 @@ from ..session import written
 from .common import Words, batch_of, ranked, slices, span_hashes
 
 #: Distinct words whose ids one worker remembers at most; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
+#: Words asked of the tokenizer at once: its answers take far more memory than the ids.
+ASKED = 8_000
+#: Bytes of text that are turned into ids at once.
+PART_BYTES = 1 << 20
 #: Letters before this one are the same in every version of the letter tables.
 LATIN = "\u0250"
 
@@ -39,6 +44,8 @@ class WordIds:
     """Token ids of words, asked of the tokenizer once per distinct word and worker, as far as memory is allowed."""
 
     def __init__(self, path: str):
+        # a task has one core; threads of the tokenizer's own would only hold memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole, self.bare, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
         # words of letters alone, lower-cased, need no more than this of the tokenizer's own steps
         self.bare.normalizer = None
@@ -60,6 +67,11 @@ class WordIds:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, words
+        for i in range(0, len(new), ASKED):
+            self.ask(new[i : i + ASKED])
+        return [self.known[w] for w in words]
+
+    def ask(self, new: list[bytes]) -> None:
         plain, other = {}, []
         for w in new:
             t = w.decode("utf-8", "surrogatepass").lower()
@@ -74,7 +86,6 @@ class WordIds:
         if other:
             said = self.whole.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in other], add_special_tokens=False)
             self.known.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in said)))
-        return [self.known[w] for w in words]
 
 
 @cache
@@ -134,7 +145,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(tokenizer)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PART_BYTES):
             flat, bounds = ids_of(b.column("text").to_pylist(), ids, end)
             count = -(-np.diff(bounds) // capacity)
             own = np.repeat(np.arange(len(count)), count)
