@@ -62,7 +62,7 @@ def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.M
     """Learned from the labelled ``docs`` of the four folds that are not held out."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "toxic")
+    return toxicity.learn(docs.select("doc_id", "text"), labels, "doc_id", "text", "toxic")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,22 +211,24 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
     return model
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
     """Fit on the bounded sample: per label, the rows that come first by a hash of their id.
 
-    Rows of null label, or of a text that is null or longer than ``LONGEST``, are not learned from.
+    Rows of null label, or of a text that is null or longer than ``LONGEST``, are not learned from; rows equal in id and
+    text count once. ``labels`` has one row per id. Texts are not shuffled: the sample is drawn on ids and hashes of texts.
     """
-    rows = labelled.select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit(SEED), id_col).alias("draw"),
-        F.xxhash64(text_col).alias("tid"),
-    ).where(F.col("label").isin(0, 1) & (F.length("text") <= LONGEST))
-    texts, labels = [], []
-    for label, most in SAMPLE.items():
-        # at most `most` texts of at most LONGEST characters reach the driver
-        found = rows.where(F.col("label") == label).orderBy("draw", "tid", "text").limit(most).toArrow()
-        texts += found.column("text").to_pylist()
-        labels += [label] * len(found)
-    return fit(texts, labels)
+    text = F.col(text_col)
+    keyed = docs.where(F.length(text) <= LONGEST).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    label = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(*SAMPLE))
+    drawn = keyed.select("id", "tid", F.xxhash64(F.lit(SEED), "id").alias("draw")).join(label, "id").distinct()
+    picks = [r for k, most in SAMPLE.items() for r in drawn.where(F.col("label") == k).orderBy("draw", "tid").limit(most).collect()]
+    if not picks:
+        return fit([], [])
+    # SAMPLE bounds the rows that are broadcast, LONGEST the texts that reach the driver
+    some = F.broadcast(docs.sparkSession.createDataFrame(picks, drawn.schema).select("id", "tid"))
+    found = keyed.join(some, ["id", "tid"]).dropDuplicates(["id", "tid"]).toArrow().to_pylist()
+    by_key = {(r["id"], r["tid"]): r["text"] for r in found}
+    return fit([by_key[r["id"], r["tid"]] for r in picks], [r["label"] for r in picks])
 
 
 def score(docs: DataFrame, model: Model, text_col: str, out: str) -> DataFrame:
