@@ -160,6 +160,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
                 id=b.column("id").take(row), ord=b.column("ord").take(row), tid=b.column("tid").take(row), piece=pa.array(piece.astype(np.int32)),
                 start=pa.array(start.astype(np.int64)), length=pa.array(length.astype(np.int64)), ids=blobs,
             )
+        # the worker outlives the task and may wait beside others
+        ids.known = {}
 
     return ranked(docs, id_col, text_col).mapInArrow(
         run, "id long, ord long, tid long, piece int, start long, length long, ids binary"

@@ -27,6 +27,8 @@ LONGEST = 20_000
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 #: Steps of training at least: a small sample is gone through more often.
 STEPS = 250
+#: Bytes of text that are scored at once.
+PART_BYTES = 1 << 20
 
 GAPS = np.ones(256, bool)
 GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -239,10 +241,9 @@ def score(docs: DataFrame, model: Model, text_col: str, out: str) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            batch = batch_of(text=pa.array(series.tolist(), pa.string()))
-            parts = [shared.value.scores(b.column("text").to_pylist()) for b in slices([batch], "text")]
-            yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = [shared.value.scores(b.column("text").to_pylist()) for b in slices([batch_of(text=batch)], "text", PART_BYTES)]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0))
 
-    return docs.withColumn(out, F.pandas_udf(run, "double")(F.col(text_col).cast("string")))
+    return docs.withColumn(out, F.arrow_udf(run, "double")(F.col(text_col).cast("string")))

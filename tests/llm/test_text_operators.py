@@ -364,3 +364,13 @@ def test_edited_texts_of_the_fingerprint_query(spark):
 def test_folds_of_the_contract(spark):
     frame = spark.range(50).select("id", queries.fold(F.col("id"), 5).alias("fold")).collect()
     assert all(r.fold == zlib.crc32(str(r.id).encode()) % 5 for r in frame)
+
+
+def test_toxicity_sample(spark):
+    """Null ids, null labels and labels of no document are not learned from; rows equal in id and text count once."""
+    docs = spark.createDataFrame(
+        [(1, "good words here"), (2, None), (3, ""), (4, "vile bad bad"), (4, "vile bad bad"), (None, "vile")], "doc_id long, text string"
+    )
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1), (5, None), (9, 1), (None, 1)], "doc_id long, toxic int")
+    assert round(toxicity.learn(docs, labels, "doc_id", "text", "toxic").prior, 6) == round(1 / 3, 6)
+    assert toxicity.learn(docs.where("false"), labels, "doc_id", "text", "toxic").prior == 0.5
