@@ -304,12 +304,13 @@ def tree_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``(id, ord, tid, n_shingles, class_key, component_id)`` for every row of ``docs``.
+    """``(id, ord, tid, n_shingles, class_key, group_key, component_id)`` for every row of ``docs``.
 
     Two rows link when ``100 * |A & B| >= percent * |A | B|`` for their sets of word ``n``-grams; ``component_id`` is
     the least id reached by links. Empty and null texts have no tokens and link with nothing. Rows of equal sets are
     one class, however many. A null id orders after all others and never names a group that has another id. Repeated
-    ids stay separate rows that share an id. Tokens are 64-bit hashes. An empty table gives no rows.
+    ids stay separate rows that share an id: ``group_key`` tells groups apart, also those of one id or of none, and is null
+    without words. Tokens are 64-bit hashes. An empty table gives no rows.
     """
     rows = ranked(docs, id_col, text_col)
     sets = shingle_sets(docs, id_col, text_col, n).drop("tokens")
@@ -320,8 +321,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     classes = written(classes, "classes")
     groups = classes.groupBy("label").agg(F.min("first").alias("least"))
-    named = written(classes.join(groups, "label").select("key", "least"), "named")
+    named = written(classes.join(groups, "label").select("key", "label", "least"), "named")
     out = sets.join(named, "key", "left")
     least = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("ord"))
     own = F.when(least == F.lit(2**63 - 1), F.col("id")).otherwise(least)
-    return out.select("id", "ord", "tid", "n_shingles", F.col("key").alias("class_key"), own.alias("component_id"))
+    group = F.when(F.col("n_shingles") > 0, F.col("label"))
+    return out.select(
+        "id", "ord", "tid", "n_shingles", F.col("key").alias("class_key"), group.alias("group_key"), own.alias("component_id")
+    )

@@ -36,3 +36,14 @@ def test_stages_keep_clean_rows_and_survive_odd_ones(spark):
     assert mixed.columns == docs.columns and {x.doc_id for x in mixed.collect()} <= set(cut)
     for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats, corpus_pipeline.mix_sources, corpus_pipeline.pack):
         assert stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_near_duplicates_keep_unrelated_texts_of_one_id(spark):
+    r = random.Random(4)
+    prose = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    none, other, one, two = (prose(60) for _ in range(4))
+    rows = [(None, none), (None, other), (None, other + " end"), (3, one), (3, two), (4, two + " end")]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(x.doc_id, x.text.removesuffix(" end")) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {(None, none), (None, other), (3, one), (3, two)}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 4
