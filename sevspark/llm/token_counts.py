@@ -141,7 +141,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             none = np.zeros(len(pair), np.int64)
             sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64()).to_numpy()
             yield batch_of(
-                ord=b.column("ord").take(pa.array(text)), tid=pa.array(tid.astype(np.int32)[text]), token=pa.concat_arrays([marks, tokens]),
+                ord=b.column("ord").take(pa.array(text)), tid=pa.array(tid[text]), token=pa.concat_arrays([marks, tokens]),
                 n=pa.array(np.concatenate((sums, n))), n_bytes=pa.array(np.concatenate((sizes, none))),
                 copies=pa.array(np.concatenate((np.ones(b.num_rows, np.int64), none))),
             )
@@ -164,9 +164,9 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield batch_of(**{c: b.column(c) for c in ("ord", "tid", "n_bytes", "copies")}, n=pa.array(n))
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = "ord long, tid int, token binary, n long, n_bytes long, copies long"
+    kinds = "ord long, tid long, token binary, n long, n_bytes long, copies long"
     parts = rows.mapInArrow(spread, kinds).repartition(width, "token").sortWithinPartitions("token")
-    parts = parts.mapInArrow(count, "ord long, tid int, n_bytes long, copies long, n long")
+    parts = parts.mapInArrow(count, "ord long, tid long, n_bytes long, copies long, n long")
     # rows equal in id and text were summed together
     sums = parts.groupBy("ord", "tid").agg(*[F.sum(c).alias(c) for c in ("n", "n_bytes", "copies")])
     sums = sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))

@@ -76,6 +76,18 @@ def test_token_counts(spark, docs, rows):
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
 
+def test_token_counts_of_hashes_that_share_their_low_half(spark, monkeypatch):
+    """Texts without an id are told apart by the whole 64-bit hash."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts_ = ["one", "one two three four five"]
+    frame = spark.createDataFrame([(None, t) for t in texts_], "doc_id long, text string")
+    real = token_counts.ranked
+    low = F.when(F.col("text") == "one", F.lit(1)).otherwise(F.lit((5 << 32) + 1)).cast("bigint")
+    monkeypatch.setattr(token_counts, "ranked", lambda *a: real(*a).withColumn("tid", low))
+    got = token_counts.token_counts(frame, path).collect()
+    assert sorted(x.n_bytes for x in got) == [3, 23] and len({x.n_tokens for x in got}) == 2
+
+
 def test_license_scan(spark):
     notice = dict(licenses.NOTICES)
     found = table(spark, [
