@@ -47,18 +47,18 @@ def distance(one: str, other: str) -> Column:
 def nearest_codes(rows: DataFrame, queries: DataFrame, k: int, segments: int, keys: Sequence[str] = ("id", "code")) -> DataFrame:
     """``(query_id, rank, id, distance)``: the ``k`` rows of least Hamming distance to each query, ties by smaller id.
 
-    ``rows`` and ``queries`` have ``(id, code)`` with distinct ids and codes of ``segments`` segments; a query never finds the row of its
-    own id; null ids and codes are left out. Fewer rows than ``k``: all of them. Of rows with equal codes only the ``k + 1`` of
-    smallest id can appear in a result, so no more enter the index: a code that many rows share stays small.
+    ``rows`` and ``queries`` have ``(id, code)``, codes of ``segments`` segments; repeated rows count once, an id of several codes by the
+    nearest; a query never finds the rows of its own id; null ids and codes are left out. Fewer rows than ``k``: all of them. Of the ids of one code only the ``k + 1``
+    smallest can appear in a result, so no more enter the index: a code that many rows share stays small.
     """
     spark = rows.sparkSession
     ids, code = keys
     ranked = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    rows = rows.select(F.col(ids).alias("id"), F.col(code).alias("code")).where("id is not null and code is not null")
+    rows = rows.select(F.col(ids).alias("id"), F.col(code).alias("code")).where("id is not null and code is not null").distinct()
     rows = written(rows.withColumn("n", ranked).where(F.col("n") <= k + 1).drop("n"), "codes")
     index = written(rows.select("*", F.posexplode("code").alias("segment", "value")), "index")
     open_ = queries.select(F.col(ids).alias("query_id"), F.col(code).alias("query")).where("query_id is not null and query is not null")
-    open_ = written(open_, "queries")
+    open_ = written(open_.distinct(), "queries")
     empty = spark.createDataFrame([], "query_id long, id long, distance int")
     best, done = empty, []
     order = Window.partitionBy("query_id").orderBy("distance", "id")

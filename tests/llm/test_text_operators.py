@@ -123,6 +123,14 @@ def test_hamming_top_k(spark):
     assert hamming.nearest_codes(frame.where("false"), frame.where("false"), 4, 2).count() == 0
 
 
+def test_hamming_top_k_of_repeated_rows(spark):
+    """Copies of a row take no places of other ids, neither of one code nor as queries."""
+    data = [(2, [7])] * 12 + [(0, [7])] * 3 + [(i, [7]) for i in (5, 6, 7, 8)] + [(9, [6])]
+    frame = spark.createDataFrame(data, "id long, code array<int>")
+    got = hamming.nearest_codes(frame, frame.where("id = 0"), 4, 1).orderBy("rank").collect()
+    assert [(x.rank, x.id, x.distance) for x in got] == [(1, 2, 0), (2, 5, 0), (3, 6, 0), (4, 7, 0)]
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
