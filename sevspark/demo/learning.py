@@ -15,12 +15,6 @@ from .intake import PAYLOAD_FIELDS
 from .tables import feature_rows
 
 FEATURES = presets.MODEL_FEATURES
-# smaller than the defaults, so that the queries answer in seconds on a laptop
-QUICK = {
-    "rf": {"n_estimators": 15, "max_depth": 8},
-    "gbt_depth": {"n_estimators": 8},
-    "gbt_leaf": {"n_estimators": 4},
-}
 
 
 @lru_cache(maxsize=4)
@@ -36,7 +30,7 @@ def split_table(t: Tables):
 
 @lru_cache(maxsize=8)
 def _model(app: str, folder: str, spark, algo: str):
-    return training.train_and_test(split_table(Tables(spark, folder)), algo, overrides=QUICK[algo])
+    return training.train_and_test(split_table(Tables(spark, folder)), algo)
 
 
 def model(t: Tables, algo: str = "rf"):
@@ -113,14 +107,13 @@ def _(t: Tables):
 
 @query("ml_grid_search")
 def _(t: Tables):
-    found = ml.grid_search(train_frame(t), {"numTrees": [5, 10], "maxDepth": [4, 6]}, folds=2)
+    found = ml.grid_search(train_frame(t).persist())
     return t.spark.createDataFrame(found, "params string, f1 double")
 
 
 @query("ml_random_search")
 def _(t: Tables):
-    grid = {"numTrees": [5, 10], "maxDepth": [4, 6], "minInstancesPerNode": [1, 4]}
-    return t.spark.createDataFrame(ml.random_search(train_frame(t), grid, draws=3, folds=2), "params string, f1 double")
+    return t.spark.createDataFrame(ml.random_search(train_frame(t).persist()), "params string, f1 double")
 
 
 @query("ml_predict_batch")
@@ -159,7 +152,7 @@ def _(t: Tables):
 
 @query("ml_cycles")
 def _(t: Tables):
-    df = training.cycles(feature_rows(t), "rf", overrides=QUICK["rf"])
+    df = training.cycles(feature_rows(t), "rf")
     return df.select("year", "label", *[F.round(c, 4).alias(c) for c in ("accuracy", "f1", "auc", "recall")])
 
 

@@ -107,3 +107,24 @@ def test_scenarios(spark):
     assert (r["pct_before"], r["pct_after"], r["verdict"]) == (100.0, 100.0, "no change")
     pair = whatif.pair(df, "id", "vma", 90, 50, predict).first()
     assert pair["delta"] == pytest.approx(0.2)
+
+
+def test_registered_models_use_the_published_parameters(monkeypatch):
+    from types import SimpleNamespace
+
+    import __spark_entry__  # noqa: F401  (registers in order)
+    from sevspark.demo import base, learning
+
+    trained, searched = [], []
+    frame = SimpleNamespace(persist=lambda: frame)
+    monkeypatch.setattr(learning, "split_table", lambda t: frame)
+    monkeypatch.setattr(learning, "train_frame", lambda t: frame)
+    monkeypatch.setattr(learning.training, "train_and_test", lambda split, algo, **kw: trained.append((algo, kw.get("overrides"))))
+    monkeypatch.setattr(ml, "_search", lambda train, points, folds, *rest: searched.append((len(points), folds)) or [])
+    for algo in learning.training.ALGORITHMS:
+        learning._model.__wrapped__("app", "folder", None, algo)
+    assert trained == [(algo, None) for algo in learning.training.ALGORITHMS]
+    t = SimpleNamespace(spark=SimpleNamespace(createDataFrame=lambda rows, schema: rows))
+    base.QUERIES["ml_grid_search"](t)
+    base.QUERIES["ml_random_search"](t)
+    assert searched == [(81, 5), (20, 3)]
