@@ -80,27 +80,29 @@ def anchors(words: Words, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray,
         return first, none, none, none
     text = np.repeat(np.arange(len(words.at) - 1), np.diff(words.at))
     level = (words.hash, np.arange(size), np.arange(size), np.arange(size) + 1, text)
-    best = np.full(size + 1, ~np.uint64(0))
-    lows, highs, base = [], [], 0
+    ranks, lows, highs = [], [], []
     for r in range(rounds + 1):
         if r:
             level = one_round(*level, np.uint64(r))
         name, _, low, high, _ = level
-        rank = (np.uint64(rounds - r) << np.uint64(62)) | (mix(name) >> np.uint64(26) << np.uint64(24))
-        number = np.arange(base, base + len(name)).astype(np.uint64)
-        rank |= number
+        ranks.append((np.uint64(rounds - r) << np.uint64(62)) | (mix(name) >> np.uint64(26) << np.uint64(24)))
         lows.append(low), highs.append(high)
-        base += len(name)
-        at = np.flatnonzero(high - low <= n)
-        low, high, rank = low[at], high[at], rank[at]
-        for step in range(n):
-            start = low - step
-            ok = (start >= 0) & (start + n >= high)
-            if not ok.any():
-                break
-            np.minimum.at(best, start[ok], rank[ok])
-    number = (best[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    return first, np.concatenate(lows)[number], np.concatenate(highs)[number], number
+    rank, lows, highs = np.concatenate(ranks), np.concatenate(lows), np.concatenate(highs)
+    # places in order of rank, then of number: they tell any number of symbols apart
+    order = np.argsort(rank, kind="stable")
+    best = np.full(size + 1, len(order))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = np.flatnonzero(highs - lows <= n)
+    low, high, place = lows[at], highs[at], place[at]
+    for step in range(n):
+        start = low - step
+        ok = (start >= 0) & (start + n >= high)
+        if not ok.any():
+            break
+        np.minimum.at(best, start[ok], place[ok])
+    number = order[best[first]]
+    return first, lows[number], highs[number], number
 
 
 def instances(docs: DataFrame, n: int, rounds: int) -> DataFrame:

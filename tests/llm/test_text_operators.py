@@ -346,6 +346,21 @@ def test_substring_dedup_of_repetitive_words(spark, alphabet):
     assert found == sorted(brute_removed(rows, 6))
 
 
+def test_anchors_of_more_symbols_than_24_bits():
+    """Equal windows have equal anchors, however many symbols stand before them in the slice."""
+    r = np.random.default_rng(8)
+    passage = r.integers(0, 2**63, 400).astype(np.uint64)
+    size = (1 << 24) - 200
+    words = Words([])
+    words.hash = np.concatenate((np.resize(r.integers(0, 2**63, 1000).astype(np.uint64), size), passage))
+    words.at = np.array([0, len(words.hash)])
+    few = Words([])
+    few.hash, few.at = passage, np.array([0, len(passage)])
+    first, low, high, _ = recompression.anchors(words, 2, 0)
+    _, low2, high2, _ = recompression.anchors(few, 2, 0)
+    assert (low[-len(low2) :] - size == low2).all() and (high[-len(high2) :] - size == high2).all()
+
+
 def test_fingerprints(spark, docs, rows):
     got = fingerprints.fingerprints(docs).select("id", "text", "sketch").collect()
     by_text = defaultdict(set)
