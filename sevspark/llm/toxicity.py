@@ -85,7 +85,7 @@ class Model:
         }
         for d in "fb":
             self.p |= {f"in_{d}": draw(2 * WIDTH, 3 * h), f"bias_{d}": np.zeros(3 * h, np.float32), f"rec_{d}": draw(h, 3 * h)}
-        #: share of label 1 among the learned rows: what a text without words scores
+        #: share of label 1 among the learned rows: what a text without words scores, below 0.5 in any case
         self.prior = 0.5
 
     def embed(self, x: Inputs) -> np.ndarray:
@@ -141,7 +141,7 @@ class Model:
         *_, text, logit = self.logits(x)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, text, logit)
-        return np.where(np.isfinite(best), sigmoid(np.clip(best, -60, 60)), self.prior)
+        return np.where(np.isfinite(best), sigmoid(np.clip(best, -60, 60)), min(self.prior, 0.49))
 
     def back(self, x: Inputs, embedded: np.ndarray, tables: dict, first, size, label) -> dict:
         """Gradient of the mean logistic loss of the given windows."""

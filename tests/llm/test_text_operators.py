@@ -208,6 +208,13 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model, "text", "score").count() == 0
 
 
+@pytest.mark.parametrize("prior", [0.5, 0.9, 1.0])
+def test_texts_without_words_are_never_toxic(prior):
+    model = toxicity.Model()
+    model.prior = prior
+    assert (model.scores([None, "", " \n"]) < 0.5).all()
+
+
 def test_toxicity_gradient():
     model, x = toxicity.Model(3), toxicity.Inputs(["one two three four", "five six two"])
     first, size, text = x.windows()
