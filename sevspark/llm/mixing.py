@@ -70,6 +70,30 @@ def running(rows: DataFrame, by: list[str], bucket: str, order: list[Column], va
     return joined.withColumn(out, F.col("__before") + inner).drop("__before")
 
 
+def deal(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with whole ``repeats``: the ``count`` of their group, dealt out over its ``twins`` rows as evenly as can be.
+
+    ``groups`` has a row for each group ``by``; rows of others go. Few groups are uneven: the order of the mix leaves the rows of one
+    together, so a source is cut inside one of them a pass.
+    """
+
+    def joined(part: DataFrame) -> DataFrame:
+        match = F.lit(True)
+        for c in by:
+            match = match & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        return rows.alias("l").join(part.alias("r"), match).select("l.*", "r.count", "r.twins")
+
+    even = joined(groups.where("count % twins = 0")).withColumn("repeats", F.expr("count div twins"))
+    uneven = groups.where("count % twins > 0")
+    if uneven.limit(1).count() == 0:
+        return even.drop("count", "twins")
+    odd = written(joined(uneven).withColumn("__place", F.monotonically_increasing_id()).withColumn("__one", F.lit(1)), "uneven")
+    odd = odd.withColumn("__part", F.shiftright("__place", 33))
+    odd = running(odd, by, "__part", [F.col("__place")], "__one", "__nth")
+    odd = odd.withColumn("repeats", F.expr("count div twins + if(__nth <= count % twins, 1, 0)"))
+    return even.unionByName(odd.select(even.columns)).drop("count", "twins")
+
+
 def mix_sources(
     docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=(5, 2, 1), share: float = 1.5, passes: int = 2, seed: int = 0
 ) -> DataFrame:
@@ -77,7 +101,7 @@ def mix_sources(
 
     ``repeats`` is how often the mix takes the whole document, ``passes`` at most, and ``taken`` its words by that. Null
     sources are one source, the last; null texts have no words and are never taken. Ties of the shuffle are broken by
-    id and text; rows equal in both are taken alike or in any order. Reruns agree: the order hangs on ids, texts and seed
+    id and text; of rows equal in both and in source any are taken. Reruns agree: the order hangs on ids, texts and seed
     only. No rows, or no words: nothing is taken, and targets are 0.
     """
     rows = docs.select(
@@ -106,16 +130,12 @@ def mix_sources(
     queue = written(queue.select("id", "tid", "source", "draw", "size", "finish", "slot", "pass"), "queue")
     order = [F.col("finish"), F.col("source"), F.col("pass"), *order]
     taken = running(queue, [], "slot", order, "size", "total").where(F.col("total") <= budget)
-    taken = taken.groupBy("id", "tid").agg(F.count("*").alias("repeats"))
-    # rows equal in id and text share what was taken for them
-    twins = rows.groupBy("id", "tid").agg(F.count("*").alias("twins"))
-    taken = taken.join(twins, ["id", "tid"]).withColumn("repeats", F.col("repeats") / F.col("twins"))
-    taken = written(taken.select("id", "tid", "repeats"), "taken")
-    r, t, g = rows.alias("r"), taken.alias("t"), goal.alias("g")
-    out = r.join(t, F.col("r.id").eqNullSafe(F.col("t.id")) & (F.col("r.tid") == F.col("t.tid")), "left")
-    out = out.join(g, F.col("r.source").eqNullSafe(F.col("g.source")))
-    repeats = F.coalesce("t.repeats", F.lit(0.0))
+    by = ["id", "tid", "source"]
+    counts = taken.select(*by, F.lit(1).alias("got"), F.lit(0).alias("row"))
+    counts = counts.union(rows.select(*by, F.lit(0), F.lit(1))).groupBy(*by).agg(F.sum("got").alias("count"), F.sum("row").alias("twins"))
+    dealt = deal(rows.select(*by, "size"), written(counts, "taken"), by)
+    r, g = dealt.alias("r"), goal.alias("g")
+    out = r.join(g, F.col("r.source").eqNullSafe(F.col("g.source")))
     return out.select(
-        "r.id", "r.tid", "r.size", "r.source", "g.source_size", "g.target", repeats.alias("repeats"),
-        F.floor(repeats * F.col("r.size")).alias("taken"),
-    )
+        "r.id", "r.tid", "r.size", "r.source", "g.source_size", "g.target", "r.repeats", (F.col("r.repeats") * F.col("r.size")).alias("taken")
+    )

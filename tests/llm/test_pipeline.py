@@ -47,3 +47,12 @@ def test_near_duplicates_keep_unrelated_texts_of_one_id(spark):
     kept = {(x.doc_id, x.text.removesuffix(" end")) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {(None, none), (None, other), (3, one), (3, two)}
     assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 4
+
+
+def test_mixing_deals_whole_copies_to_repeated_rows(spark):
+    """A source that is cut inside a group of repeated rows gives as many rows as the mix takes."""
+    rows = [(1, "a b", "x")] * 40 + [(2, "c d", "y")] * 40 + [(3, "e f", "z")] * 40
+    docs = spark.createDataFrame([(i, t, "en", s, 3) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.source: x["count"] for x in corpus_pipeline.mix_sources(spark, docs, "").groupBy("source").count().collect()}
+    # weights 5, 2, 1 of 360 words, at most 160 of x: 133 and 67 words of y and z
+    assert got["x"] == 80 and 66 <= got["y"] <= 67 and 33 <= got["z"] <= 34
