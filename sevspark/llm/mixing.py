@@ -51,15 +51,20 @@ def targets(sizes: DataFrame, weights: list[float], share: float, passes: int) -
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def running(rows: DataFrame, by: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
+def running(
+    rows: DataFrame, by: list[str], bucket: str, order: list[Column], value: str, out: str, below: float | None = None
+) -> DataFrame:
     """``rows`` with ``out``: sum of ``value`` up to and with each row, in order of ``bucket`` and ``order`` within ``by``.
 
-    Buckets are summed first, so a task holds one bucket, and one number per bucket.
+    Buckets are summed first, so a task holds one bucket, and one number per bucket. Values are positive where ``below`` is given:
+    then buckets that start at it or above, of which no row ends at it or below, are left out before they are sorted.
     """
     sums = rows.groupBy(*by, bucket).agg(F.sum(value).alias("__sum"))
     # without `by` this window sees the buckets alone: one row for about BUCKET_ROWS of the table
     w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, bucket, F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__before"))
+    if below is not None:
+        sums = sums.where(F.col("__before") < below)
     sums = written(sums, "sums")
     match = F.lit(True)
     left, right = rows.alias("l"), sums.alias("r")
@@ -125,11 +130,11 @@ def mix_sources(
     queue = queue.select("*", again.alias("pass")).where(F.col("target") > 0)
     finish = (F.col("given") + F.col("pass") * F.col("source_size")) / F.col("target")
     queue = queue.withColumn("finish", finish)
-    # nobody is taken far behind finish time 1: the last bucket holds all that comes late
+    # the last bucket holds all that comes late; the budget is used up before it, unless texts are longer than targets
     queue = queue.withColumn("slot", F.least(F.floor(F.col("finish") * buckets), F.lit(2 * buckets)).cast("long"))
     queue = written(queue.select("id", "tid", "source", "draw", "size", "finish", "slot", "pass"), "queue")
     order = [F.col("finish"), F.col("source"), F.col("pass"), *order]
-    taken = running(queue, [], "slot", order, "size", "total").where(F.col("total") <= budget)
+    taken = running(queue, [], "slot", order, "size", "total", budget).where(F.col("total") <= budget)
     by = ["id", "tid", "source"]
     counts = taken.select(*by, F.lit(1).alias("got"), F.lit(0).alias("row"))
     counts = counts.union(rows.select(*by, F.lit(0), F.lit(1))).groupBy(*by).agg(F.sum("got").alias("count"), F.sum("row").alias("twins"))

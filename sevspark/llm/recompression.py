@@ -163,7 +163,8 @@ def windows_of(docs: DataFrame, n: int) -> DataFrame:
 
 
 def spans_by_row(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.groupBy("ord", "tid").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+    """Each span once, however many rows are equal in id and text."""
+    return rows.groupBy("ord", "tid").agg(F.collect_set(F.struct(*columns)).alias("spans"))
 
 
 def repeats(docs: DataFrame, n: int, rounds: int) -> DataFrame:

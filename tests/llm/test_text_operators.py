@@ -368,6 +368,17 @@ def test_anchors_of_more_symbols_than_24_bits():
     assert (low[-len(low2) :] - size == low2).all() and (high[-len(high2) :] - size == high2).all()
 
 
+def test_spans_of_repeated_rows_are_listed_once(spark):
+    spans = spark.createDataFrame([(1, 2, 0, 3)] * 50 + [(1, 2, 9, 1)], "ord long, tid long, start int, windows int")
+    assert sorted(recompression.spans_by_row(spans, "start", "windows").first()["spans"]) == [(0, 3), (9, 1)]
+
+
+def test_running_leaves_out_buckets_above_the_budget(spark):
+    frame = spark.createDataFrame([(0, 4), (1, 4), (2, 4), (2, 4)], "slot long, size long")
+    got = mixing.running(frame, [], "slot", [F.col("size")], "size", "total", 8.0)
+    assert sorted(x.total for x in got.collect()) == [4, 8]
+
+
 def test_fingerprints(spark, docs, rows):
     got = fingerprints.fingerprints(docs).select("id", "text", "sketch").collect()
     by_text = defaultdict(set)
