@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hamming, jaccard_join, language, licenses, mixing, packing, recompression, token_counts, toxicity
+from . import (
+    filter_audit, fingerprints, hamming, jaccard_join, language, licenses, minhash, mixing, packing, prefix_trie, recompression, token_counts, toxicity,
+)
 from .common import fold
 
 CAPACITY = 2048
@@ -105,11 +107,29 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rebuild(lists: DataFrame) -> DataFrame:
+        base = F.col("conv_id") - F.col("conv_id") % 20
+        return prefix_trie.shared_heads(lists, base, fold(F.col("conv_id"), 4), 3)
+
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild)
+    return nodes.toDF("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_license_scan, op3_hamming_topk, op4_best_fit_packing, op5_language_codes, op6_toxicity, op7_source_mixing,
-        op8_jaccard_join, op9_substring_dedup, op10_fingerprints,
+        op8_jaccard_join, op9_substring_dedup, op10_fingerprints, op11_prefix_trie, op12_minhash, op13_filter_audit,
     )
 }
 
@@ -161,4 +181,79 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN kept USING (doc_id)
     """,
+    "op11_prefix_trie": r"""
+        WITH own AS (
+            SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS turns
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+            GROUP BY conv_id
+        ), heads AS (
+            -- crc32 of the decimal id, bit by bit, modulo 4
+            SELECT conv_id, xor(list_reduce(
+                list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                lambda c, byte: list_reduce([xor(c, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+            ), 4294967295) % 4 AS h FROM own
+        ), rebuilt AS (
+            SELECT o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+            FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+        ), members AS (
+            SELECT conv_id, turns[1:d] AS path, d AS depth, len(turns) = d AS ends FROM (
+                SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS d FROM rebuilt
+            )
+        ), nodes AS (
+            SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n,
+                coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ids,
+                CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END AS words
+            FROM members GROUP BY path, depth
+        ), kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS kids FROM nodes WHERE depth > 0 GROUP BY 1, 2
+        ), grown AS (SELECT n.*, coalesce(k.kids, 0) AS kids FROM nodes n LEFT JOIN kids k ON k.path = n.path AND k.depth = n.depth
+        ), below AS (
+            SELECT path[1:d] AS path, d AS depth, sum((n - 1) * words) AS saved, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves
+            FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM grown) GROUP BY 1, 2
+        )
+        SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n AS n_convs, g.kids AS n_children, b.leaves::BIGINT AS n_leaves,
+            b.saved::BIGINT AS saved_tokens, sha256(g.ids) AS ends_sha256
+        FROM grown g JOIN below b ON b.path = g.path AND b.depth = g.depth
+        LEFT JOIN nodes p ON p.path = g.path[1:g.depth - 1] AND p.depth = g.depth - 1 AND g.depth > 0
+    """,
+    "op13_filter_audit": r"""
+        WITH words AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), firsts AS (SELECT t, min(coalesce(doc_id, 9223372036854775807)) AS least FROM words GROUP BY t
+        ), marks AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+        ), docs AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+                len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t),
+                regexp_matches(t, '[#$%&*|]'), coalesce(words.doc_id, 9223372036854775807) > least
+            ] AS fails FROM words JOIN firsts USING (t) LEFT JOIN marks ON marks.doc_id = words.doc_id
+        ), sums AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM docs GROUP BY ALL
+        ), f AS (SELECT unnest(generate_series(1, 5)) AS i
+        ), orders AS (
+            SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+        ), steps AS (SELECT o, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, unnest(generate_series(1, 5)) AS step FROM orders
+        ), each AS (
+            SELECT part, filter_order, step, o[step] AS i, n, good, toxic, fails[o[step]] AS failing,
+                len(list_filter(o[1:step - 1], lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS failed
+            FROM steps CROSS JOIN sums
+        ), counted AS (
+            SELECT part, filter_order, step, i,
+                sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN gone AND failing THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN failing AND failed = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM each GROUP BY ALL
+        )
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            sum(removed) OVER (PARTITION BY part, i)::BIGINT AS shapley FROM counted
+    """,
 }
+
+# the same join as op8 on five words, and a mark for the row that bears the group's id
+ORACLE["op12_minhash"] = (
+    ORACLE["op8_jaccard_join"]
+    .replace("w[i:i + 3]", "w[i:i + 4]")
+    .replace("len(w) - 3", "len(w) - 4")
+    .replace("min(r.y) AS component_id", "min(r.y) AS component_id, d.doc_id = min(r.y) AS kept")
+)
