@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,59 +123,90 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(found, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def close_pairs(percent: int, most: int):
-    """A task over the rows of two blocks of one bucket (``side`` 0 and 1; 0 alone: inside a block).
-
-    Pairs of different labels whose bitmaps allow the limit, ``most`` at most of each two labels, the best bounded first;
-    ``cut`` marks a task that held some back. A set of x tokens and p bits shares at most (x - p) + (common bits) tokens.
+def _close(group: dict[str, np.ndarray], percent: int, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one task that may match, and whether some were held back; see ``close_pairs``."""
+    left = np.flatnonzero(group["side"] == 0)
+    alone = len(left) == len(group["side"])
+    right = left if alone else np.flatnonzero(group["side"] == 1)
+    size, label, slack, maps, bands = (group[c] for c in ("n_shingles", "label", "slack", "bitmap", "bands"))
+    number = group["band"][0]
+    found = []
+    for at, i in enumerate(left):
+        j = right[at + 1 :] if alone else right
+        j = j[(label[j] != label[i]) & (100 * size[j] >= percent * size[i]) & (100 * size[i] >= percent * size[j])]
+        if len(j) and number:  # a pair that an earlier band brought together is that band's
+            j = j[~(bands[j, :number] == bands[i, :number]).any(axis=1)]
+        if not len(j):
+            continue
+        bound = np.bitwise_count(maps[j] & maps[i]).sum(axis=1, dtype=np.int64) + np.minimum(slack[i], slack[j])
+        both = size[j] + size[i]
+        fits = bound * (100 + percent) >= percent * both
+        found += [(-x / n, i, k) for k, x, n in zip(j[fits], bound[fits], both[fits])]
+    key, taken, held, out = group["key"], {}, False, []
+    for _, i, j in sorted(found):
+        ends = tuple(sorted((label[i], label[j])))
+        taken[ends] = taken.get(ends, 0) + 1
+        if taken[ends] > most:
+            held = True
+        else:
+            out.append((min(key[i], key[j]), max(key[i], key[j])))
+    return out, held
+
+
+def close_pairs(tasks: DataFrame, percent: int, most: int) -> DataFrame:
+    """``(value, a, b, cut)`` from rows ``(value, pair, side, ...)``: two blocks of a bucket, or one (``side`` 0 alone).
+
+    Pairs of different labels whose bitmaps allow the limit, ``most`` at most of each two labels and task, the best bounded
+    first; ``cut`` marks the pairs of a task that held some back. A set of x tokens and p bits shares at most
+    (x - p) + (common bits) tokens. A Python task holds one pair of blocks and one Arrow batch.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_shingles", "key"], ignore_index=True)
-        left = pdf[pdf["side"] == 0]
-        alone = len(left) == len(pdf)
-        right = left if alone else pdf[pdf["side"] == 1]
-        maps = [np.frombuffer(b"".join(s["bitmap"]), np.uint64).reshape(len(s), BITS // 64) for s in (left, right)]
-        size, slack, key, label, bands = (
-            [np.stack(s[c].to_numpy()) if c == "bands" else s[c].to_numpy() for s in (left, right)] for c in ("n_shingles", "slack", "key", "label", "bands")
-        )
-        number = int(pdf["band"].iloc[0])
-        found = []
-        for i in range(len(left)):
-            j = np.flatnonzero((label[1] != label[0][i]) & (100 * size[1] >= percent * size[0][i]) & (100 * size[0][i] >= percent * size[1]))
-            if alone:
-                j = j[j > i]
-            # a pair that an earlier band brought together is that band's
-            j = j[~(bands[1][j, :number] == bands[0][i, :number]).any(axis=1)]
-            if not len(j):
+    def columns(t: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("value", "side", "band", "key", "label", "n_shingles", "slack")}
+        out["bitmap"] = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        out["bands"] = t.column("bands").flatten().to_numpy().reshape(t.num_rows, -1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = []
+
+        def work(t: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+            all_, rows = columns(t), []
+            for x, y in zip(cuts, cuts[1:]):
+                pairs, held = _close({c: v[x:y] for c, v in all_.items()}, percent, most)
+                rows += [(all_["value"][x], a, b, held) for a, b in pairs]
+            value, a, b, held = zip(*rows) if rows else ((), (), (), ())
+            return batch_of(value=pa.array(value, pa.int64()), a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()), cut=pa.array(held, pa.bool_()))
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            common = np.bitwise_count(maps[1][j] & maps[0][i]).sum(axis=1, dtype=np.int64)
-            bound = common + np.minimum(slack[0][i], slack[1][j])
-            fits = bound * (100 + percent) >= percent * (size[0][i] + size[1][j])
-            found += [
-                (min(key[0][i], k), max(key[0][i], k), min(label[0][i], m), max(label[0][i], m), b / (size[0][i] + s))
-                for k, m, b, s in zip(key[1][j[fits]], label[1][j[fits]], bound[fits], size[1][j[fits]])
-            ]
-        out = pd.DataFrame(found, columns=["a", "b", "p", "q", "bound"])
-        rank = out.sort_values(["bound", "a", "b"], ascending=[False, True, True]).groupby(["p", "q"]).cumcount()
-        held = bool((rank >= most).any())
-        out = out.loc[rank.index[rank < most], ["a", "b"]].astype("int64")
-        return out.assign(cut=held)
-
-    return run
+            t = pa.Table.from_batches([*rest, b]).combine_chunks().to_batches()[0]
+            value, pair = t.column("value").to_numpy(), t.column("pair").to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero((value[1:] != value[:-1]) | (pair[1:] != pair[:-1])) + 1))
+            if len(cuts) > 1:  # the last task may go on in the next batch
+                yield work(t.slice(0, cuts[-1]), cuts)
+            rest = [t.slice(cuts[-1])]
+        if rest:
+            yield work(rest[0], np.array([0, rest[0].num_rows]))
+
+    dealt = tasks.select("value", "pair", "side", "band", "key", "label", "n_shingles", "slack", "bitmap", "bands")
+    dealt = dealt.repartition("value", "pair").sortWithinPartitions("value", "pair", "side", "n_shingles")
+    return dealt.mapInArrow(run, "value long, a long, b long, cut boolean")
 
 
 def block_pairs(members: DataFrame) -> DataFrame:
     """``members`` of unsettled buckets dealt to pairs of blocks: ``(value, pair, side, ...)``.
 
-    Blocks are cut by size, so that only those whose sizes are near meet; a bucket of c blocks sends a member to c tasks at
-    most. Blocks that are one label on both sides do not meet.
+    A bucket of up to ``BLOCK`` members is one block. A larger one is cut by size, so that only blocks whose sizes are near
+    meet, and by hash; with c blocks it sends a member to c tasks at most. Blocks of one and the same label do not meet.
     """
-    counts = members.groupBy("value", "level").agg(F.count("*").alias("n"))
-    blocks = members.join(counts, ["value", "level"]).withColumn(
-        "block", F.concat_ws("/", "level", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)))
-    )
-    blocks = written(blocks.drop("n"), "blocks")
+    totals = members.groupBy("value").agg(F.count("*").alias("total"))
+    sized = members.join(totals, "value").withColumn("level", F.when(F.col("total") > BLOCK, F.col("level")).otherwise(0))
+    counts = sized.where(F.col("total") > BLOCK).groupBy("value", "level").agg(F.count("*").alias("n"))
+    chunk = F.pmod(F.xxhash64("key"), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK))
+    blocks = sized.join(counts, ["value", "level"], "left").withColumn("block", F.concat_ws("/", "level", chunk))
+    blocks = written(blocks.drop("n", "total"), "blocks")
     kinds = blocks.groupBy("value", "block", "level").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     kinds = written(kinds, "kinds")
     x, y = kinds.alias("x"), kinds.alias("y")
@@ -204,14 +234,13 @@ def bucket_links(classes: DataFrame, sets: DataFrame, buckets: DataFrame, percen
         members = written(members.join(maps, "key").join(classes.select("key", "bands"), "key"), "members")
         if members.limit(1).count() == 0:
             return links
-        tasks = block_pairs(members).groupBy("value", "pair")
-        found = tasks.applyInPandas(close_pairs(percent, most), "a long, b long, cut boolean")
-        found = written(found, "close")
-        fresh = found.select("a", "b").distinct()
-        links = written(links.union(verified(fresh, sets, percent)), "links")
-        if found.where("cut").limit(1).count() == 0:
+        found = written(close_pairs(block_pairs(members), percent, most), "close")
+        links = written(links.union(verified(found.select("a", "b").distinct(), sets, percent)), "links")
+        cut = found.where("cut").select("value").distinct()
+        if cut.limit(1).count() == 0:
             return links
-        most *= 4
+        # a bucket that gave all its pairs is settled
+        buckets, most = written(buckets.join(cut, "value", "left_semi"), "buckets"), most * 4
 
 
 def near_duplicates(
