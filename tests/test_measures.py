@@ -169,7 +169,6 @@ def test_exact_split_and_replication(spark):
 
 
 def test_neighbours_and_votes_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(50, 4))
     x[10:20] = x[9]  # a group of copies
@@ -186,11 +185,6 @@ def test_neighbours_and_votes_match_brute_force(spark, monkeypatch):
     assert new.count() > 0 and all(len(r["x"]) == 4 for r in new.collect())
 
 
-def test_vote_refuses_an_oversized_sample(spark, monkeypatch):
-    monkeypatch.setattr(knn, "SAMPLE_LIMIT", 5)
-    df = spark.range(10).select("id", F.array(F.lit(1.0)).alias("x"), F.lit(1).alias("y"))
-    with pytest.raises(ValueError):
-        knn.vote(df, "id", "x", df, "y")
 
 
 def test_tail_hides_noise_and_counts(spark):
