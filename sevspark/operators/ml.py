@@ -10,7 +10,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
@@ -23,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets
-from . import aggregate, evaluate
+from . import aggregate, boosting, evaluate
 
 MAX_DEPTH = 30  # the deepest tree Spark builds; stands for "no limit"
 MISSING = -1.0  # how a missing feature enters the vector
+BOOSTED = ("gbt_depth", "gbt_leaf")
 
 
 # ---- parameters -----------------------------------------------------------------------------
@@ -52,7 +52,7 @@ def _subset(value) -> str:
 
 
 def build(algo: str, params: Mapping, label: str = "label", weight: str | None = None, seed: int = 42):
-    """Spark estimator for one of the three families; see the README for parameters without counterpart."""
+    """Spark estimator of the forest; the boosted families are fitted by ``boosting``."""
     common = {"featuresCol": "features", "labelCol": label, "seed": seed}
     if weight and params.get("class_weight") == "balanced":
         common["weightCol"] = weight
@@ -63,23 +63,24 @@ def build(algo: str, params: Mapping, label: str = "label", weight: str | None =
             minInstancesPerNode=params["min_samples_leaf"], impurity=params["criterion"],
             featureSubsetStrategy=_subset(params["max_features"]), **common,
         )
-    if algo == "gbt_depth":
-        return GBTClassifier(
-            maxIter=params["n_estimators"], maxDepth=depth, stepSize=params["learning_rate"],
-            subsamplingRate=params["subsample"], featureSubsetStrategy=str(params["colsample_bytree"]),
-            minInfoGain=params["gamma"], minInstancesPerNode=params["min_child_weight"], **common,
-        )
-    if algo == "gbt_leaf":
-        # a balanced tree with at least as many leaves
-        leaves_depth = max(1, (params["num_leaves"] - 1).bit_length())
-        return GBTClassifier(
-            maxIter=params["n_estimators"], maxDepth=leaves_depth, stepSize=params["learning_rate"],
-            subsamplingRate=params["subsample"], featureSubsetStrategy=str(params["colsample_bytree"]),
-            minInstancesPerNode=params["min_child_samples"], **common,
-        )
     raise ValueError(f"unknown algorithm {algo}")
 
 
+def boosting_params(algo: str, params: Mapping, seed: int = 42) -> boosting.Params:
+    """The published parameters of a boosted family; ``depth``-wise ones regularise by 1 unless told otherwise."""
+    common = dict(
+        rounds=params["n_estimators"], rate=params["learning_rate"], row_share=params["subsample"], column_share=params["colsample_bytree"],
+        l1=params.get("reg_alpha", 0.0), gamma=params.get("gamma", params.get("min_split_gain", 0.0)), seed=seed,
+    )
+    if algo == "gbt_depth":
+        return boosting.Params(depth=params["max_depth"], l2=params.get("reg_lambda", 1.0), min_hessian=params["min_child_weight"], **common)
+    depth = params.get("max_depth")
+    return boosting.Params(
+        leaves=params["num_leaves"], depth=depth if depth and depth > 0 else None, l2=params.get("reg_lambda", 0.0),
+        min_rows=params["min_child_samples"], min_hessian=params.get("min_child_weight", 1e-3), **common,
+    )
+
+
 # ---- frames ---------------------------------------------------------------------------------
 
 
@@ -97,22 +98,35 @@ def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFr
     return df.withColumn(name, table[F.col(label)])
 
 
-def training_frame(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """``features, label, weight`` only: what an estimator scans again and again."""
-    rows = assemble(df, features).select("features", F.col(label).cast("double").alias("label"))
+def training_frame(df: DataFrame, features: Sequence[str], label: str, algo: str = "rf") -> DataFrame:
+    """``features, label, weight`` only: what an estimator scans again and again. Boosted families take ``values``, with nulls."""
+    if algo in BOOSTED:
+        rows = df.select(F.array(*[F.col(c).cast("double") for c in features]).alias("values"), F.col(label).cast("double").alias("label"))
+    else:
+        rows = assemble(df, features).select("features", F.col(label).cast("double").alias("label"))
     return with_class_weight(rows, "label")
 
 
 # ---- training and scoring -------------------------------------------------------------------
 
 
-def fit(train: DataFrame, algo: str, overrides: Mapping | None = None, seed: int = 42) -> Model:
+def fit(train: DataFrame, algo: str, overrides: Mapping | None = None, seed: int = 42) -> Model | boosting.Boosted:
     params = merge_params(presets.MODEL_PARAMS[algo], overrides)
+    if algo in BOOSTED:
+        weight = "weight" if params.get("class_weight") == "balanced" else None
+        return boosting.fit(train, boosting_params(algo, params, seed), weight)
     return build(algo, params, weight="weight", seed=seed).fit(train)
 
 
 def score(model: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add class, probability of the predicted class (4 decimals) and of the severe class."""
+    if isinstance(model, boosting.Boosted):
+        p = F.col("severe_probability")
+        keep = [c for c in df.columns if c not in {"prediction", "probability", "severe_probability"}]
+        cls = (p > 0.5).cast("int")
+        return model.score(df, features).select(
+            *keep, cls.alias("prediction"), F.round(F.greatest(p, 1 - p), 4).alias("probability"), "severe_probability"
+        )
     out = model.transform(assemble(df, features))
     p = vector_to_array("probability")
     cls = F.col("prediction").cast("int")

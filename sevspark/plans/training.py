@@ -21,7 +21,7 @@ def train_and_test(
     features: Sequence[str] = presets.MODEL_FEATURES,
 ) -> tuple[Model, DataFrame]:
     """Model of the train rows and its one-row metrics on the test rows."""
-    train = ml.training_frame(split.filter("split = 'train'"), features, label).persist()
+    train = ml.training_frame(split.filter("split = 'train'"), features, label, algo).persist()
     try:
         model = ml.fit(train, algo, overrides)
     finally:

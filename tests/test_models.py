@@ -73,7 +73,10 @@ def test_unlimited_depth_and_leaf_count():
     from sevspark import presets
 
     assert ml.build("rf", presets.MODEL_PARAMS["rf"]).getMaxDepth() == 30
-    assert ml.build("gbt_leaf", presets.MODEL_PARAMS["gbt_leaf"]).getMaxDepth() == 7
+    p = ml.boosting_params("gbt_leaf", presets.MODEL_PARAMS["gbt_leaf"])
+    assert (p.leaves, p.depth, p.rounds, p.min_rows, p.row_share) == (100, None, 650, 12, 0.8)
+    p = ml.boosting_params("gbt_depth", {**presets.MODEL_PARAMS["gbt_depth"], "reg_alpha": 2, "gamma": 3})
+    assert (p.leaves, p.depth, p.rounds, p.l1, p.l2, p.gamma, p.min_hessian) == (None, 5, 300, 2, 1.0, 3, 1)
 
 
 def test_score_gives_probability_of_the_predicted_class(spark):
