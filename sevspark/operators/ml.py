@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets
+from ..session import shared_dir
 from . import aggregate, boosting, evaluate
 
 MAX_DEPTH = 30  # the deepest tree Spark builds; stands for "no limit"
@@ -61,7 +62,9 @@ def build(algo: str, params: Mapping, label: str = "label", weight: str | None =
         return RandomForestClassifier(
             numTrees=params["n_estimators"], maxDepth=min(depth, MAX_DEPTH),
             minInstancesPerNode=params["min_samples_leaf"], impurity=params["criterion"],
-            featureSubsetStrategy=_subset(params["max_features"]), **common,
+            featureSubsetStrategy=_subset(params["max_features"]),
+            # a deep forest is not sent with every task: rows remember their nodes, in checkpoints of the shared folder
+            cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512, **common,
         )
     raise ValueError(f"unknown algorithm {algo}")
 
@@ -115,6 +118,7 @@ def fit(train: DataFrame, algo: str, overrides: Mapping | None = None, seed: int
     if algo in BOOSTED:
         weight = "weight" if params.get("class_weight") == "balanced" else None
         return boosting.fit(train, boosting_params(algo, params, seed), weight)
+    shared_dir(train.sparkSession)  # where checkpoints of the rows' nodes go
     return build(algo, params, weight="weight", seed=seed).fit(train)
 
 
