@@ -378,7 +378,7 @@ def _(t: Tables):
     "breaches",
 )
 def _(t: Tables):
-    fired = alerts.firing(alerts.evaluate(samples(t), RULES), "start", 3600)
+    fired = alerts.firing(alerts.evaluate(samples(t), RULES), "start", 3600, unique=True)
     text = {c: when.stamp(F.timestamp_seconds(f"{c}_s")).alias(c) for c in ("start", "fired", "end")}
     return fired.select("rule", *text.values(), "steps")
 

@@ -48,14 +48,15 @@ def evaluate(metrics: DataFrame, rules: Sequence[Rule], metric: str = "metric",
     return metrics.withColumn("_r", F.explode(F.array_compact(F.array(*hits)))).select(*metrics.columns, "_r.*")
 
 
-def firing(steps: DataFrame, ts: str, step_s: int, keys: Sequence[str] = ("rule",)) -> DataFrame:
+def firing(steps: DataFrame, ts: str, step_s: int, keys: Sequence[str] = ("rule",), unique: bool = False) -> DataFrame:
     """Breaches that lasted: one row per unbroken breach with start, time of firing and end.
 
-    A missing evaluation step counts as no breach, so a gap longer than ``step_s`` ends a run.
+    A missing evaluation step counts as no breach, so a gap longer than ``step_s`` ends a run. ``unique``: no two steps of a
+    series share a second, as after a windowed aggregate; the rows are then written once less.
     """
     keys = list(keys)
     seconds = steps.withColumn("_t", F.unix_timestamp(F.col(ts).cast("timestamp")))
-    o = Ordered(seconds, keys, ["_t"]).previous({"_pt": "_t", "_pb": "breach"})
+    o = Ordered(seconds, keys, ["_t"], unique=unique).previous({"_pt": "_t", "_pb": "breach"})
     goes_on = F.coalesce(F.col("_pb") & (F.col("_t") - F.col("_pt") <= step_s), F.lit(False))
     o = o.running_sum({"_run": (F.col("breach") & ~goes_on).cast("bigint")})
     runs = o.rows().filter("breach").groupBy(*keys, "for_s", "_run").agg(
