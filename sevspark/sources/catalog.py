@@ -100,3 +100,21 @@ def match_files(
         *group, "_b.category", F.col("_b.file").alias(name), "_b.score", F.lit("similarity").alias("how")
     )
     return strict.unionByName(fuzzy)
+
+
+def require_all_files(
+    names: DataFrame, matches: DataFrame, group: Sequence[str],
+    keywords: Mapping[str, Sequence[str]] = presets.CATEGORY_KEYWORDS,
+) -> DataFrame:
+    """``matches`` of ``match_files`` again, or an error naming one group of ``names`` that lacks a category.
+
+    Groups without any match count too; only the one row of the first group at fault reaches the driver.
+    """
+    group = list(group)
+    every = names.select(*group, F.lit(None).cast("string").alias("category"))
+    seen = every.unionByName(matches.select(*group, "category")).groupBy(*group).agg(F.collect_set("category").alias("_c"))
+    row = seen.filter(F.size("_c") < len(keywords)).orderBy(*group).first()
+    if row:
+        where = ", ".join(str(row[c]) for c in group)
+        raise ValueError(f"{where}: missing {sorted(set(keywords) - set(row['_c']))}")
+    return matches

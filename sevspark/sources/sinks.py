@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import when
-from .tables import exists
+from .tables import exists, remove
 
 
 def write_splits(df: DataFrame, path: str, year: str = "year_acc") -> None:
@@ -54,6 +54,14 @@ def reset(spark: SparkSession, path: str) -> int:
     return removed
 
 
+def reset_drift_reports(spark: SparkSession, folder: str) -> bool:
+    """Delete the yearly and the latest reports of ``write_drift_reports``; tell whether any were there."""
+    parts = [p for p in (f"{folder}/reports", f"{folder}/latest") if exists(spark, p)]
+    for p in parts:
+        remove(spark, p)
+    return bool(parts)
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Order-free identity of a table: row count, xor and sum of row hashes.
 

@@ -155,6 +155,28 @@ def test_one_column_file_is_unreadable(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "x.csv")) is None
 
 
+def test_groups_without_all_files_are_an_error(spark):
+    whole = [("f", n) for n in ["caract-2021", "lieux-2021", "usagers-2021", "vehicules-2021"]]
+    df = spark.createDataFrame(whole, "folder string, file string")
+    found = catalog.match_files(df, ["folder"], "file")
+    assert catalog.require_all_files(df, found, ["folder"]).count() == 4
+    df = spark.createDataFrame([*whole, ("g", "lieux-2022")], "folder string, file string")
+    with pytest.raises(ValueError, match="g: missing .*caracteristiques.*usagers.*vehicules"):
+        catalog.require_all_files(df, catalog.match_files(df, ["folder"], "file"), ["folder"])
+    df = spark.createDataFrame([*whole, ("h", "xyz")], "folder string, file string")
+    with pytest.raises(ValueError, match="h: missing"):
+        catalog.require_all_files(df, catalog.match_files(df, ["folder"], "file"), ["folder"])
+
+
+def test_reset_deletes_drift_reports(spark, tmp_path):
+    folder = str(tmp_path / "drift")
+    assert not sinks.reset_drift_reports(spark, folder)
+    rows = spark.createDataFrame([(2020, "low"), (2021, "high")], "year int, level string")
+    sinks.write_drift_reports(rows, folder)
+    assert sinks.reset_drift_reports(spark, folder) and not sinks.reset_drift_reports(spark, folder)
+    assert not (tmp_path / "drift" / "reports").exists() and not (tmp_path / "drift" / "latest").exists()
+
+
 def test_first_available_and_reset(spark, tmp_path):
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
     spark.range(3).write.parquet(b)
