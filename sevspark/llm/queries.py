@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     filter_audit, fingerprints, hamming, jaccard_join, language, licenses, minhash, mixing, packing, prefix_trie, recompression, token_counts, toxicity,
 )
-from .common import fold
+from .common import fold, ranked
 
 CAPACITY = 2048
 LIMIT = 4096
@@ -92,9 +92,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
-    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("here", F.struct("text", "sketch"))
-    rows = fingerprints.with_next(rows.select("id", "ord", "tid", "here"), "ord", "tid", "here", "next")
+    rows = ranked(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("here", F.coalesce("text", F.lit("")))
+    both = lambda text: F.struct(text.alias("text"), fingerprints.sketch(text).alias("sketch"))
+    rows = fingerprints.with_next(rows.select("id", "ord", "tid", "here"), "ord", "tid", "here", "next", both)
     n = F.length("here.text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("here.text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))

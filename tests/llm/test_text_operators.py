@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -402,6 +404,71 @@ def test_next_rows_follow_descending_order(spark):
     assert one.next == one.text
 
 
+def low_hashes(text, n=5, scale=8):
+    """All shingle hashes of a text and its sketch, in plain Python."""
+    word = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+    out = set()
+    for i in range(max(1, len(word) - n + 1) if word else 0):
+        h = 42
+        for w in word[i : i + n]:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+        out.add(h - 2**64 if h >= 2**63 else h)
+    return out, sketch_of(out, scale)
+
+
+def sketch_of(hashes, scale=8):
+    few = sorted(h for h in hashes if h <= 2**64 // scale - 2**63 - 1)
+    return few or sorted(hashes)[:1]
+
+
+def test_sketches_merge_and_estimate_as_plain_sets_do(spark):
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice(["ka", "lo", "mi", "ré", "tu", "wo", "zu"]) + str(r.randrange(30)) for _ in range(n))
+    pairs = []
+    for _ in range(150):
+        part = prose(r.randint(1, 60))
+        pairs.append((part, prose(r.randint(5, 80)) + " " + part + " " + prose(r.randint(0, 40))))
+        other = part.split()
+        other[r.randrange(len(other))] = "changed"
+        pairs.append((part, " ".join(other)))
+    pairs += [("", "a b"), ("a b", ""), ("", ""), ("one two three four five", "one two three four five six")]
+    frame = spark.createDataFrame(pairs, "a string, b string").select("a", "b", *[fingerprints.sketch(F.col(c)).alias(f"s{c}") for c in "ab"])
+    one, two = F.col("sa"), F.col("sb")
+    got = frame.select("*", fingerprints.merged(one, two).alias("m"), fingerprints.likeness(one, two).alias("like"), fingerprints.containment(one, two).alias("part"))
+    told, inside = 0, 0
+    for x in got.collect():
+        (a, sa), (b, sb) = low_hashes(x.a), low_hashes(x.b)
+        assert list(x.sa) == sa and list(x.sb) == sb
+        assert list(x.m) == sketch_of(a | b)
+        assert x.like == (len(set(sa) & set(sb)) / len(set(sa) | set(sb)) if sa or sb else 1.0)
+        if not a:
+            assert x.part == 1.0
+        elif a <= b:
+            inside += 1
+            told += x.part is not None
+            assert x.part in (None, 1.0)
+        elif sa[0] > 2**61 - 2**63 - 1:
+            assert x.part is None or x.part == float(sa[0] in b)
+        else:
+            assert x.part == len(set(sa) & b) / len(sa)
+    assert inside > 120 and told > 0.7 * inside
+
+
+def test_next_rows_of_one_hot_order(spark):
+    """A third of all rows without id, ids that repeat and equal rows; the text of a null row counts as empty."""
+    from sevspark.llm.common import ranked
+
+    r = random.Random(3)
+    ids = [None] * 100 + [7] * 40 + r.sample(range(1000), 160)
+    frame = spark.createDataFrame([(i, None if k % 50 == 9 else f"text {k}", "x") for k, i in enumerate(ids)] + [(7, "text 100", "x")], "doc_id long, text string, sketch string")
+    rows = ranked(frame, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).cache()
+    down = sorted(rows.collect(), key=lambda x: (-x.ord, x.tid))
+    wanted = sorted(zip([x.text for x in down], [x.text.upper() for x in down[1:] + down[:1]]))
+    out = fingerprints.with_next(rows, "ord", "tid", "text", "next", F.upper).collect()
+    assert sorted((x.text, x.next) for x in out) == sorted((a.upper(), b) for a, b in wanted)
+    rows.unpersist()
+
+
 def test_edited_texts_of_the_fingerprint_query(spark):
     folder = "/root/testdata/sf0.001"
     text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
