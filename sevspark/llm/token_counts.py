@@ -14,7 +14,6 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,12 +137,9 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             tid = b.column("tid").to_numpy()
             marks = pa.array([b"\xff" + t.tobytes() for t in tid], pa.binary())
             text = np.concatenate((np.arange(b.num_rows), pair // kinds))
-            none = np.zeros(len(pair), np.int64)
-            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64()).to_numpy()
             yield batch_of(
                 ord=b.column("ord").take(pa.array(text)), tid=pa.array(tid[text]), token=pa.concat_arrays([marks, tokens]),
-                n=pa.array(np.concatenate((sums, n))), n_bytes=pa.array(np.concatenate((sizes, none))),
-                copies=pa.array(np.concatenate((np.ones(b.num_rows, np.int64), none))),
+                n=pa.array(np.concatenate((sums, n))),
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +157,17 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 last = tokens[coded.indices[-1].as_py()]
                 last_pieces = found.get(last, 1)
             n = b.column("n").to_numpy() * each[coded.indices.to_numpy()]
-            yield batch_of(**{c: b.column(c) for c in ("ord", "tid", "n_bytes", "copies")}, n=pa.array(n))
+            yield batch_of(ord=b.column("ord"), tid=b.column("tid"), n=pa.array(n))
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = "ord long, tid long, token binary, n long, n_bytes long, copies long"
-    parts = rows.mapInArrow(spread, kinds).repartition(width, "token").sortWithinPartitions("token")
-    parts = parts.mapInArrow(count, "ord long, tid long, n_bytes long, copies long, n long")
-    # rows equal in id and text were summed together
-    sums = parts.groupBy("ord", "tid").agg(*[F.sum(c).alias(c) for c in ("n", "n_bytes", "copies")])
+    parts = rows.mapInArrow(spread, "ord long, tid long, token binary, n long").repartition(width, "token").sortWithinPartitions("token")
+    parts = parts.mapInArrow(count, "ord long, tid long, n long")
+    # rows equal in id and text were summed together; their sizes travel by row alone, not with each pre-token
+    sums = parts.groupBy("ord", "tid").agg(F.sum("n").alias("n"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sizes = rows.select("ord", "tid", size.alias("n_bytes")).groupBy("ord", "tid")
+    sizes = sizes.agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("copies"))
+    sums = sums.join(sizes, ["ord", "tid"])
     sums = sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return sums.select(
         F.when(F.col("ord") != LAST_ID, F.col("ord")).alias("id"),
