@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,14 @@ def ranked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def release() -> None:
+    """Hand freed memory of numpy and Arrow back to the system; a worker that waits for its next stage would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
@@ -53,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -30,6 +30,8 @@ from ..session import written
 from .common import RunHash, Words, batch_of, mix, ranked, signed, slices, starts_of
 
 ROUNDS = 2
+#: Bytes of text whose symbols are held at once: every word has some thirty numbers of 8 bytes at the peak.
+PART_BYTES = 1 << 20
 _RUN, _PAIR, _SIDE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 _FAR = np.int64(1 << 40)
 
@@ -90,6 +92,7 @@ def anchors(words: Words, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray,
     rank, lows, highs = np.concatenate(ranks), np.concatenate(lows), np.concatenate(highs)
     # places in order of rank, then of number: they tell any number of symbols apart
     order = np.argsort(rank, kind="stable")
+    del ranks, rank, level, name, text
     best = np.full(size + 1, len(order))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -109,7 +112,7 @@ def instances(docs: DataFrame, n: int, rounds: int) -> DataFrame:
     """``(ord, tid, key, bundle, start, windows)``: runs of windows of one document with the same anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PART_BYTES):
             words = Words(b.column("text").to_pylist())
             first, low, high, number = anchors(words, n, rounds)
             text = np.searchsorted(words.at, first, "right") - 1
@@ -138,7 +141,7 @@ def windows_of(docs: DataFrame, n: int) -> DataFrame:
     """``(key, content, ord, tid, start)`` of the windows of each ``spans`` entry, the first of each content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PART_BYTES):
             words = Words(b.column("text").to_pylist())
             spans = b.column("spans")
             flat, own = spans.flatten(), np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()))
@@ -215,7 +218,7 @@ def substring_dedup(
     rows = ranked(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PART_BYTES):
             texts = b.column("text").to_pylist()
             words = Words(texts)
             gone = covered(words, window, b.column("spans"))
