@@ -142,6 +142,22 @@ _NAMES = """CASE doc_id % 6 WHEN 0 THEN 'carcteristiques' WHEN 1 THEN 'lieux' WH
   || CAST(2021 + doc_id % 4 AS STRING)"""
 
 
+# longest common block of the texts a and b: the first in a at -i
+_BLOCK = """list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2),
+      lambda n: CASE WHEN contains(b, substr(a, i, n)) THEN {'n': n, 'i': -i} ELSE {'n': 0, 'i': 0} END))))"""
+
+
+def _ratios(pairs: str) -> str:
+    """Recursive steps from ``pairs`` (s, c) to ``ratios`` (s, c, score): blocks, then those left and right of each."""
+    at = "instr(b, substr(a, -k.i, k.n))"
+    return f"""pieces(s, c, a, b) AS (SELECT DISTINCT s, c, c, s FROM {pairs} UNION ALL
+      SELECT s, c, CASE side WHEN 0 THEN substr(a, 1, -k.i - 1) ELSE substr(a, -k.i + k.n) END,
+        CASE side WHEN 0 THEN substr(b, 1, {at} - 1) ELSE substr(b, {at} + k.n) END
+      FROM (SELECT *, {_BLOCK} AS k FROM pieces WHERE a <> '' AND b <> ''), (VALUES (0), (1)) v(side) WHERE k.n > 0),
+    ratios AS (SELECT s, c, 2 * sum(coalesce(k.n, 0))::DOUBLE / (length(s) + length(c)) AS score
+      FROM (SELECT *, {_BLOCK} AS k FROM pieces) GROUP BY s, c)"""
+
+
 # one category after the other, each without the files that went before
 _PICKS = ",\n    ".join(
     f"b{i} AS (SELECT * FROM o WHERE category = '{c}'"
@@ -153,14 +169,14 @@ _PICKS = ",\n    ".join(
 
 @query(
     "src_match_files",
-    f"""WITH f AS (SELECT DISTINCT source, {_NAMES} AS name FROM documents),
+    f"""WITH RECURSIVE f AS (SELECT DISTINCT source, {_NAMES} AS name FROM documents),
     s AS (SELECT source, category, min(name) AS name FROM (SELECT *, CASE WHEN contains(name, 'caract') THEN 'caracteristiques'
       WHEN contains(name, 'lieux') THEN 'lieux' WHEN contains(name, 'usagers') THEN 'usagers' WHEN contains(name, 'vehicul') THEN 'vehicules' END
       AS category FROM f) WHERE category IS NOT NULL GROUP BY 1, 2),
     r AS (SELECT f.* FROM f ANTI JOIN s USING (source, name)),
-    m AS (SELECT source, name, c AS category, 1 - levenshtein(regexp_replace(lower(name), '[\\s_-]*\\d+$', ''), c)
-      / greatest(length(regexp_replace(lower(name), '[\\s_-]*\\d+$', '')), length(c)) AS score FROM r,
-      (VALUES ('caracteristiques'), ('lieux'), ('usagers'), ('vehicules')) v(c)),
+    q AS (SELECT *, regexp_replace(lower(name), '[\\s_-]*\\d+$', '') AS s FROM r,
+      (VALUES ('caracteristiques'), ('lieux'), ('usagers'), ('vehicules')) v(c)), {_ratios("q")},
+    m AS (SELECT source, name, c AS category, score FROM q JOIN ratios USING (s, c)),
     o AS (SELECT m.* FROM m ANTI JOIN s USING (source, category) WHERE score >= 0.75), {_PICKS},
     b AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4)
     SELECT source, category, name, 1.0::DOUBLE AS score, 'keyword' AS how FROM s
@@ -174,9 +190,9 @@ def _(t: Tables):
 
 @query(
     "join_fuzzy",
-    """SELECT p_partkey, p_name, c AS name, round(s, 6) AS score FROM (SELECT p_partkey, p_name, c,
-      1 - levenshtein(lower(p_name), c) / greatest(length(p_name), length(c)) AS s FROM part,
-      (VALUES ('red widget'), ('small ring'), ('blue bolts')) v(c)) WHERE s >= 0.75""",
+    f"""WITH RECURSIVE q AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '[\\s_-]*\\d+$', '') AS s, c FROM part,
+      (VALUES ('red widget'), ('small ring'), ('blue bolts')) v(c)), {_ratios("q")}
+    SELECT p_partkey, p_name, c AS name, round(score, 6) AS score FROM q JOIN ratios USING (s, c) WHERE score >= 0.75""",
 )
 def _(t: Tables):
     df = joins.fuzzy_to_names(

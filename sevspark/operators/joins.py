@@ -63,13 +63,16 @@ def contains_keyword(df: DataFrame, column: str, keywords: Mapping[str, Sequence
 
 
 def fuzzy_to_names(df: DataFrame, column: str, names: Sequence[str], threshold: float) -> DataFrame:
-    """One row per (row, name) with similarity at or over the threshold.
+    """One row per (row, name) with a block-matching ratio at or over the threshold.
 
-    ``names`` is a short argument list (category names), evaluated in the scan's stage.
+    ``names`` is a short argument list (category names), evaluated in the scan's stage. Blocks are looked for only where the
+    lengths alone allow the threshold: matched characters are at most those of the shorter text.
     """
     stem = text.strip_trailing_number(F.col(column))
-    scored = F.array(
-        *[F.struct(F.lit(n).alias("name"), text.similarity(stem, F.lit(n)).alias("score")) for n in names]
-    )
-    kept = F.filter(scored, lambda s: s["score"] >= threshold)
+    scored = []
+    for n in names:
+        short, both = F.least(F.length(stem), F.lit(len(n))), F.length(stem) + len(n)
+        score = F.when(2 * short >= threshold * both, text.block_ratio(F.lit(n), stem))
+        scored.append(F.struct(F.lit(n).alias("name"), score.alias("score")))
+    kept = F.filter(F.array(*scored), lambda s: s["score"] >= threshold)
     return df.withColumn("_m", F.explode(kept)).select(*df.columns, "_m.name", "_m.score")

@@ -197,3 +197,36 @@ def test_file_messages(spark):
     seen = spark.createDataFrame([("lieux", 10, 5), ("usagers", 0, None), ("vehicules", 9, 0)], "table string, length long, rows long")
     got = {r["table"]: r["check"] for r in validate.file_messages(seen, list(presets.CATEGORY_KEYWORDS)).collect()}
     assert got == {"caracteristiques": "file_discovery", "usagers": "file_nonempty", "vehicules": "file_nonempty"}
+
+
+def test_block_ratio_is_that_of_recursive_blocks(spark):
+    """Against the standard library's block matching, with ties, repeats, empty texts and the typos of file names."""
+    import difflib
+    import random
+
+    from sevspark.functions import text
+
+    r = random.Random(4)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(r.randint(0, n)))
+    pairs = [(some("ab", 9), some("ab", 12)) for _ in range(150)] + [(some("abcde", 14), some("abcde", 20)) for _ in range(150)]
+    pairs += [("caracteristiques", x) for x in ("carcteristiques", "caracteristique", "caract", "seuqitsiretcarac", "")]
+    pairs += [("usagers", "usager"), ("lieux", "lieu"), ("vehicules", "véhicules"), ("", ""), ("a" * 16, "a" * 300 + "b")]
+    frame = spark.createDataFrame([*pairs, ("a", None), (None, "a")], "a string, b string")
+    got = frame.select("a", "b", text.block_ratio(F.col("a"), F.col("b")).alias("ratio")).collect()
+    for x in got:
+        wanted = None if x.a is None or x.b is None else difflib.SequenceMatcher(None, x.a, x.b, autojunk=False).ratio()
+        assert x.ratio == wanted, (x.a, x.b)
+
+
+def test_fuzzy_names_keep_the_limit_and_skip_by_length_only_what_cannot_reach_it(spark):
+    import difflib
+
+    from sevspark.operators import joins
+
+    names = ["caracteristiques", "lieux", "usagers", "vehicules"]
+    stems = ["carcteristiques", "carac", "lieu", "lieus", "leux", "usager", "usages", "sagers", "vehicles", "vehic", "velo", "x", ""]
+    frame = spark.createDataFrame([(f"{s}-2021",) for s in stems] + [(None,)], "file string")
+    got = {(x.file, x.name, x.score) for x in joins.fuzzy_to_names(frame, "file", names, 0.75).collect()}
+    ratio = lambda n, s: difflib.SequenceMatcher(None, n, s).ratio()
+    assert got == {(f"{s}-2021", n, ratio(n, s)) for s in stems for n in names if ratio(n, s) >= 0.75}
+    assert ("vehicles-2021", "vehicules", ratio("vehicules", "vehicles")) in got
