@@ -13,12 +13,12 @@ content of all its windows together. Equal windows have equal keys.
 Rounds on Spark. (1) Instances meet by key. One whose bundle is in an earlier document is a repeat as a whole: its
 windows need no further look. Where a key has different bundles, the first holder of each is looked at window by
 window. (2) Those windows meet by content. (3) Texts meet their repeats and lose the covered words. Windows that
-repeat inside one document are found there.
+repeat inside one document are found there. Texts are shuffled once: one exchange serves (2) and (3).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +134,7 @@ def instances(docs: DataFrame, n: int, rounds: int) -> DataFrame:
                 start=pa.array((start - words.at[text[head]]).astype(np.int32)), windows=pa.array(count.astype(np.int32)),
             )
 
-    return docs.mapInArrow(run, "ord long, tid long, key long, bundle long, start int, windows int")
+    return docs.select("ord", "tid", "text").mapInArrow(run, "ord long, tid long, key long, bundle long, start int, windows int")
 
 
 def windows_of(docs: DataFrame, n: int) -> DataFrame:
@@ -162,7 +162,8 @@ def windows_of(docs: DataFrame, n: int) -> DataFrame:
                 tid=b.column("tid").take(row), start=pa.array(at[fresh].astype(np.int32)),
             )
 
-    return docs.select("ord", "tid", "text", "spans").mapInArrow(run, "key long, content long, ord long, tid long, start int")
+    # no column is left out: the exchange of the texts can serve the last join too
+    return docs.mapInArrow(run, "key long, content long, ord long, tid long, start int")
 
 
 def spans_by_row(rows: DataFrame, *columns: str) -> DataFrame:
@@ -205,7 +206,7 @@ def covered(words: Words, n: int, spans: pa.Array) -> np.ndarray:
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, rounds: int = ROUNDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, rounds: int = ROUNDS, carry: Sequence[str] = ()
 ) -> DataFrame:
     """``(id, ord, tid, n_words, n_removed, kept_text)`` for every row of ``docs``.
 
@@ -214,8 +215,16 @@ def substring_dedup(
     judged on the input. ``kept_text`` has the other words joined by one space, and null stays null. Texts of fewer
     words lose nothing. A null id counts as the greatest. Rows of the same id are judged apart: neither is earlier
     than the other. Windows are compared by 64-bit content within the same 64-bit key. An empty table gives no rows.
+    With ``carry``, the text as it was and a struct ``row`` of these columns of ``docs`` follow, so that nobody needs to
+    join them again.
     """
-    rows = ranked(docs, id_col, text_col)
+    if carry:
+        rows = docs.select(id_col, text_col, F.struct(*carry).alias("row"))
+        kind = rows.schema["row"].dataType.simpleString()
+        more, schema = ["text", "row"], f", text string, row {kind}"
+        rows = ranked(rows, id_col, text_col, "row")
+    else:
+        rows, more, schema = ranked(docs, id_col, text_col), [], ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", PART_BYTES):
@@ -234,9 +243,10 @@ def substring_dedup(
             yield batch_of(
                 id=b.column("id"), ord=b.column("ord"), tid=b.column("tid"), n_words=pa.array(np.diff(words.at).astype(np.int64)),
                 n_removed=pa.array(np.diff(sums[words.at])), kept_text=pa.array(kept, pa.binary()).cast(pa.string()),
+                **{c: b.column(c) for c in more},
             )
 
     marks = spans_by_row(repeats(rows, window, rounds), "start", "windows")
-    return rows.join(marks, ["ord", "tid"], "left").select("id", "ord", "tid", "text", "spans").mapInArrow(
-        run, "id long, ord long, tid long, n_words long, n_removed long, kept_text string"
+    return rows.join(marks, ["ord", "tid"], "left").mapInArrow(
+        run, f"id long, ord long, tid long, n_words long, n_removed long, kept_text string{schema}"
     )

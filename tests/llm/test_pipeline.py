@@ -56,3 +56,26 @@ def test_mixing_deals_whole_copies_to_repeated_rows(spark):
     got = {x.source: x["count"] for x in corpus_pipeline.mix_sources(spark, docs, "").groupBy("source").count().collect()}
     # weights 5, 2, 1 of 360 words, at most 160 of x: 133 and 67 words of y and z
     assert got["x"] == 80 and 66 <= got["y"] <= 67 and 33 <= got["z"] <= 34
+
+
+def test_cut_repeats_shuffles_texts_once(spark):
+    """Both joins of the operator read one exchange of texts, and the stage joins them to their rows no more."""
+    r = random.Random(6)
+    prose = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    passage, odd = prose(60), prose(30).replace(" ", "  \n")
+    texts = [prose(80) + " " + passage, passage + "\t " + prose(70), odd, passage, None, "", odd + prose(5)]
+    docs = spark.createDataFrame([(i, t, "en", "s%d" % i, 7 * i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    try:
+        cut = corpus_pipeline.cut_repeats(spark, docs, "")
+        got = {x.doc_id: x for x in cut.collect()}
+    finally:
+        spark.conf.set(broadcast, before)
+    assert cut.columns == docs.columns and set(got) == {0, 1, 2, 4, 5, 6}
+    assert all(got[i].text == texts[i] and got[i].n_chars == 7 * i for i in (0, 2, 4, 5))
+    assert got[1].text == " ".join(texts[1].split()[60:]) and got[1].n_chars == len(got[1].text)
+    assert got[6].n_chars == len(got[6].text) < len(texts[6]) and [got[i].source for i in (0, 1, 6)] == ["s0", "s1", "s6"]
+    plan = cut._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 2 and plan.count("ReusedExchange") == 1
