@@ -90,6 +90,23 @@ def test_token_counts_of_hashes_that_share_their_low_half(spark, monkeypatch):
     assert sorted(x.n_bytes for x in got) == [3, 23] and len({x.n_tokens for x in got}) == 2
 
 
+def test_token_counts_send_a_pre_token_of_a_slice_once(spark, monkeypatch):
+    """Pre-tokens that are not hot travel once for a slice, whatever number of its texts has them."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = token_counts.processor(path)
+    numbers = [2**32 - 1, 0, 1, 70_000]
+    assert token_counts.numbers(token_counts.planes(np.array(numbers))).tolist() == numbers
+    monkeypatch.setattr(token_counts, "hot_counts", lambda *a: (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    words = " ".join("w%dx\nyé" % i for i in range(300))
+    frame = spark.createDataFrame([(i if i % 3 else None, words + " end%d" % (i % 7)) for i in range(200)] + [(2**63 - 1, None)], "doc_id long, text string")
+    counts = token_counts.token_counts(frame.coalesce(1), path)
+    got = sorted((-1 if x.id is None else x.id, x.n_bytes, x.n_tokens) for x in counts.collect())
+    want = [(-1 if i is None else i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in frame.collect()]
+    assert got == sorted(want) and got[-1] == (2**63 - 1, 0, 0)
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert "token#" not in plan and plan.count("MapInArrow") == 3
+
+
 def test_license_scan(spark):
     notice = dict(licenses.NOTICES)
     found = table(spark, [
