@@ -1,4 +1,4 @@
-"""Forests against plain recursive trees, both ways of growing, truncated trees."""
+"""Forests against plain recursive trees, both ways of growing, truncated trees, the search against single forests."""
 
 import numpy as np
 import pytest
@@ -86,6 +86,34 @@ def test_truncated_trees_are_those_of_less_depth_and_more_gain():
     assert full.depth.max() > 8 and len(full.pruned().column) < len(full.column)
 
 
+@pytest.mark.parametrize("limit", [1 << 18, 150])
+def test_search_equals_single_forests(spark, monkeypatch, limit):
+    monkeypatch.setattr(forest, "LOCAL_ROWS", limit)
+    x, y = data(500)
+    train = frame(spark, x, y).coalesce(1).persist()
+    points = [{"numTrees": n, "maxDepth": d, "minInfoGain": g, "minInstancesPerNode": m} for n in (1, 3, 7) for d, g in ((30, 0.0), (4, 0.01)) for m in (1, 4)]
+    found = dict(ml._search(train, points, 2, 1, 5))
+    assert len(found) == len(points)
+    lot = F.floor(F.rand(5) * 2).cast("int")
+    dealt = train.select("features", "label", lot.alias("fold")).persist()
+    for point in (points[0], points[6], points[11]):
+        marks = []
+        for fold in range(2):
+            rows, columns, classes, _, n = forest.prepared(dealt, None, "fold")
+            edges = forest.bin_edges(rows.where(F.col("fold") != fold), columns)
+            p = forest.Params(point["numTrees"], point["maxDepth"], point["minInstancesPerNode"], point["minInfoGain"], seed=5)
+            table = forest.blocks(rows, edges)
+            monkeypatch.setattr(forest, "LOCAL_ROWS", 1 << 18)
+            grower = forest.Grower(table, edges, p, classes, n, np.ones(2), fold)
+            trees = [t.pruned() for wave in grower.waves() for _, t in wave.collect()]
+            held = [forest.opened(r, columns) for r in table.select("block", "bins", "label", "weight", "fold").collect()]
+            bins, label = (np.concatenate([h[i][h[3] == fold] for h in held]) for i in (0, 1))
+            says = sum(t.values()[t.route(bins)] for t in trees).argmax(axis=1)
+            tp = int(((says == 1) & (label == 1)).sum())
+            marks.append(2 * tp / ((says == 1).sum() + (label == 1).sum()))
+        assert found[str(point)] == pytest.approx(np.mean(marks), abs=1e-12)
+
+
 def test_forest_agrees_with_sparks_and_costs_no_job_by_level(spark):
     """Held-out rows are told as well as by Spark's own forest; unlimited depth takes a few jobs, not some for each level."""
     x, y = data(2400, 6)
